@@ -10,7 +10,6 @@ a usual load after a departing one stays usual.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator  # noqa: F401
 
 import numpy as np
 import pandas as pd
@@ -47,7 +46,7 @@ def value_bucket(col: Column, kind: T.DataType) -> Column:
         return F.pmod(F.xxhash64(F.lower(F.right(col, F.lit(12)))), F.lit(256)).cast("int")
     if isinstance(kind, T.NumericType):
         number = col.cast("double")
-        return (F.signum(number) * F.floor(F.log2(F.abs(number) + 1) * 2)).cast("int")
+        return (F.signum(number) * F.floor(F.log2(F.abs(number) + 1) * 2)).try_cast("int")
     return F.lit(None).cast("int")
 
 

@@ -7,12 +7,12 @@ which has one row a key, is repeated once for each salt of its key.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICES = 64
+#: A key with fewer rows is left alone whatever its share: any task can hold that many.
+LEAST_ROWS = 10_000
 
 
 def hot_keys(df: DataFrame, key: str, slices: int = SLICES) -> list[tuple[object, int]]:
@@ -21,13 +21,16 @@ def hot_keys(df: DataFrame, key: str, slices: int = SLICES) -> list[tuple[object
     top = counts.orderBy(F.desc("n"), F.asc("k")).limit(slices).collect()
     if not top:
         return []
+    if top[0].n < LEAST_ROWS:
+        return []
     total = df.count()
-    return [(r.k, min(slices, -(-r.n * slices // total))) for r in top if r.n * slices > total]
+    return [(r.k, min(slices, -(-r.n * slices // total))) for r in top if r.n >= LEAST_ROWS and r.n * slices > total]
 
 
 def salts_of(key: Column, hot: list[tuple[object, int]]) -> Column:
     """How many salts a key has: 1 unless it is hot."""
-    return reduce(lambda rest, h: F.when(key == F.lit(h[0]), F.lit(h[1])).otherwise(rest), hot, F.lit(1))
+    salts = F.create_map(*[F.lit(x) for pair in hot for x in pair])
+    return F.coalesce(F.element_at(salts, key), F.lit(1))
 
 
 def salted_join(rows: DataFrame, keyed: DataFrame, key: str, spread: Column, how: str = "inner", hint: str | None = None, hot: list[tuple[object, int]] | None = None) -> DataFrame:
