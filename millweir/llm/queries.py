@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millweir.llm.canonical import NONE, map_places
 from millweir.llm.copies import collapse, find_copies
 from millweir.llm.tokens import decode, encode
 from millweir.session import table
@@ -20,6 +21,17 @@ def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return collapse(reps, "rep_id", find_copies(reps, "rep_id", ["email", "phone"])).select("rep_id", "email", "phone", "n_copies")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return map_places(table(spark, d, "dealers"), "dealer_id", "city", "country", table(spark, d, "ref_countries"), table(spark, d, "ref_cities"))
+
+
+def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    dealers = table(spark, d, "dealers").select("dealer_id", F.col("city"), F.col("country"))
+    none = p4_found(spark, d).where(F.col("ref_key") == NONE).join(dealers, "dealer_id")
+    value = F.when(F.col("field_name") == "city", F.col("city")).otherwise(F.col("country"))
+    return none.groupBy("field_name", value.alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -28,7 +40,7 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
     return decode(p6_ids(spark, d), "doc_id", "ids")
 
 
-QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p6_ids": p6_ids, "p6_decoded": p6_decoded}
+QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_ids": p6_ids, "p6_decoded": p6_decoded}
 
 _P2 = """
   select rep_id, email, phone, least(a, b) as lo, greatest(a, b) as hi, a <> '' and b <> '' as whole from (
