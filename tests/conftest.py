@@ -1,10 +1,11 @@
 import pytest
 
-from millweir.session import local_session
+from millweir.session import local_session, ship
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, "tests")
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     return session
