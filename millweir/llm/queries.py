@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millweir.llm.canonical import NONE, map_places
 from millweir.llm.copies import collapse, find_copies
+from millweir.llm.names import link_businesses, link_people
 from millweir.llm.tokens import decode, encode
 from millweir.session import table
 
@@ -21,6 +22,13 @@ def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return collapse(reps, "rep_id", find_copies(reps, "rep_id", ["email", "phone"])).select("rep_id", "email", "phone", "n_copies")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    dealers = link_businesses(table(spark, d, "dealers"), "dealer_id", "name")
+    reps = link_people(table(spark, d, "sales_reps"), "rep_id", "dealer_id", "full_name")
+    named = lambda df, name: df.select(F.lit(name).alias("tbl_name"), "id_a", "id_b")
+    return named(dealers, "dealers").unionByName(named(reps, "sales_reps"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return map_places(table(spark, d, "dealers"), "dealer_id", "city", "country", table(spark, d, "ref_countries"), table(spark, d, "ref_cities"))
 
@@ -40,7 +48,7 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
     return decode(p6_ids(spark, d), "doc_id", "ids")
 
 
-QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_ids": p6_ids, "p6_decoded": p6_decoded}
+QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_ids": p6_ids, "p6_decoded": p6_decoded}
 
 _P2 = """
   select rep_id, email, phone, least(a, b) as lo, greatest(a, b) as hi, a <> '' and b <> '' as whole from (
