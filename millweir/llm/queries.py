@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from millweir.llm.canonical import NONE, map_places
 from millweir.llm.copies import collapse, find_copies
+from millweir.llm.mixing import mix
 from millweir.llm.names import link_businesses, link_people
-from millweir.llm.tokens import decode, encode
+from millweir.llm.tokens import count_tokens, decode, encode
+from millweir.llm.truncation import find_truncated, shares
 from millweir.session import table
 
 
@@ -48,7 +50,32 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
     return decode(p6_ids(spark, d), "doc_id", "ids")
 
 
-QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_ids": p6_ids, "p6_decoded": p6_decoded}
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents")
+    return mix(docs, "doc_id", "source", "text", count_tokens(docs, "doc_id", "text"), table(spark, d, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
+def _truncated(spark: SparkSession, d: str) -> DataFrame:
+    return find_truncated(table(spark, d, "documents"), "doc_id", "text", ["source", "channel"])
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _truncated(spark, d).where("truncated").select("doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shares(table(spark, d, "documents"), _truncated(spark, d), "doc_id", "source")
+
+
+QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
 
 _P2 = """
   select rep_id, email, phone, least(a, b) as lo, greatest(a, b) as hi, a <> '' and b <> '' as whole from (
