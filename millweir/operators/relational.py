@@ -307,7 +307,7 @@ def limit_rows(df, p, ctx):
 HOW = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti"}
 
 
-@step("join", "join", "right_dataset*:dataset left_on:columns right_on:columns how:inner|left|right|full|cross|semi|anti=left columns:columns", flags="RM")
+@step("join", "join", "right_dataset*:dataset left_on:columns right_on:columns_right how:inner|left|right|full|cross|semi|anti=left columns:columns_right", flags="RM")
 def join(df, p, ctx):
     """Equi-join on keys compared as stripped text; nulls never match. The other side comes after its own steps."""
     left = df

@@ -342,7 +342,7 @@ def map_codes(df, p, ctx):
     return df.withColumn(out(p, p["column"]), F.coalesce(K.lookup(K.key(c), table), rest))
 
 
-@step("enrich_country", "enrich", "column*:column attributes:columns", stream=True)
+@step("enrich_country", "enrich", "column*:column attributes:list", stream=True)
 def enrich_country(df, p, ctx):
     fields = p.get("attributes") or ["iso2", "region", "currency"]
     return df.withColumns({f"{p['column']}_{f}": K.country(K.col(p["column"]), f) for f in fields})

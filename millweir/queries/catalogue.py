@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from millweir.queries import checks
+from millweir.queries import checks, transforms
 
-QUERIES = {**checks.QUERIES}
-ORACLES = {**checks.ORACLES}
+QUERIES = {**checks.QUERIES, **transforms.QUERIES}
+ORACLES = {**checks.ORACLES, **transforms.ORACLES}
+flagship = transforms.QUERIES["flagship"]
