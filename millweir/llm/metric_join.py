@@ -16,6 +16,8 @@ from millweir.skew import salted_join
 
 #: Strings a cell may hold before it is split, pivots of one split, distances kept for pruning, and splits in a row.
 CELL, MOST_PIVOTS, ANCHORS, LEVELS = 1500, 768, 8, 4
+#: A split that repeats strings more often than this on average is not worth it.
+MOST_REPEATS = 12
 
 
 def _split(items: DataFrame, radius: int, cell: int) -> DataFrame:
@@ -33,6 +35,17 @@ def _split(items: DataFrame, radius: int, cell: int) -> DataFrame:
     return small.unionByName(moved)
 
 
+def _halves(items: DataFrame) -> DataFrame:
+    """Cells of equal halves, lossless for radius 1: one edit leaves the first or the last half of the shorter string as it is.
+
+    A string is met by others of its length and by longer and shorter ones, so it takes the halves for its own length and one less.
+    """
+    n = F.length("key")
+    sizes = F.array_distinct(F.transform(F.array(n, n - 1), lambda m: F.least(F.lit(4), F.greatest(F.lit(0), F.floor(m / 2).cast("int")))))
+    parts = F.flatten(F.transform(sizes, lambda k: F.array(F.concat(F.lit("<"), k, F.lit("|"), F.left("key", k)), F.concat(F.lit(">"), k, F.lit("|"), F.right("key", k)))))
+    return items.withColumn("part", F.explode(parts)).withColumn("cell", F.xxhash64("cell", "part")).drop("part").distinct()
+
+
 def radius_pairs(strings: DataFrame, radius: int, cell: int = CELL) -> DataFrame:
     """(block, a, b, d): all pairs a < b of distinct strings of one block with Levenshtein distance d of at most radius.
 
@@ -40,13 +53,13 @@ def radius_pairs(strings: DataFrame, radius: int, cell: int = CELL) -> DataFrame
     """
     items = strings.where("block is not null and key is not null").distinct().select(F.xxhash64("block").alias("cell"), F.col("key"), F.array().cast("array<int>").alias("anchors"), F.lit(0).cast("long").alias("anchored"))
     # the cell's hash stands for the block until the end, where the block is put back
-    items = materialize(items.distinct(), "strings")
+    items = materialize(_halves(items) if radius == 1 else items, "strings")
     for _ in range(LEVELS):
         if not items.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).limit(1).count():
             break
         before = items.count()
         split = materialize(_split(items, radius, cell), "cells")
-        if split.count() > 64 * before:  # the metric doesn't part these strings: the larger cells are still exact
+        if split.count() > MOST_REPEATS * before:  # the metric doesn't part these strings: their cells stay whole, still exact
             break
         items = split
     a, b = items.alias("a"), items.select("cell", F.col("key").alias("key2"), F.col("anchors").alias("anchors2"), F.col("anchored").alias("anchored2")).alias("b")
