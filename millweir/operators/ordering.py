@@ -43,10 +43,15 @@ def with_row_id(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return materialize(rows.withColumn(ROW_ID, F.monotonically_increasing_id()), "rows")
 
 
+def _slices(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """Rows with the number of their range partition. Written once: bounds come from a sample and might differ if worked out twice."""
+    return materialize(df.repartitionByRange(*keys).withColumn("_slice", F.spark_partition_id()), "slices")
+
+
 def carry(df: DataFrame, names: list[str], values: dict[str, Column], forward: bool) -> DataFrame:
     """Each value replaced by the last non-null one up to its row (or the next one from it), over the whole table in its order."""
     keys = ascending(names)
-    slices = df.repartitionByRange(*keys).withColumn("_slice", F.spark_partition_id())
+    slices = _slices(df, keys)
     window = Window.partitionBy("_slice").orderBy(*keys)
     frame = window.rowsBetween(Window.unboundedPreceding, 0) if forward else window.rowsBetween(0, Window.unboundedFollowing)
     pick, edge = (F.last, F.max_by) if forward else (F.first, F.min_by)
@@ -63,8 +68,24 @@ def carry(df: DataFrame, names: list[str], values: dict[str, Column], forward: b
 def running(df: DataFrame, names: list[str], value: Column, alias: str) -> DataFrame:
     """df with the running sum of value over the whole table in its order, nulls counting as 0."""
     keys = ascending(names)
-    slices = df.repartitionByRange(*keys).withColumn("_slice", F.spark_partition_id()).withColumn("_value", F.coalesce(value, F.lit(0)))
+    slices = _slices(df, keys).withColumn("_value", F.coalesce(value, F.lit(0)))
     sums = slices.groupBy("_slice").agg(F.sum("_value").alias("_sum"))
     before = sums.select("_slice", F.coalesce(F.sum("_sum").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     within = F.sum("_value").over(Window.partitionBy("_slice").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
     return slices.join(F.broadcast(before), "_slice").withColumn(alias, within + F.col("_before")).drop("_slice", "_value", "_before")
+
+
+def exact_quantiles(df: DataFrame, value: Column, at: dict[str, float]) -> DataFrame:
+    """One row with the interpolated quantiles of a numeric column, exact at any size: equal values are counted map-side, ranks come
+    from running counts by range partition, and only the values at the wanted ranks are kept. Null and NaN are left out."""
+    counts = df.select(value.cast("double").alias("v")).where("v is not null and not isnan(v)").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running(counts, ["v"], F.col("n"), "upto")
+    total = ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    rows = ranked.select("v", "upto").crossJoin(F.broadcast(total))  # one row
+    made = []
+    for name, q in at.items():
+        place = F.lit(q) * (F.col("total") - 1)
+        low, high = F.min(F.when(F.col("upto") > F.floor(place), F.col("v"))), F.min(F.when(F.col("upto") > F.ceil(place), F.col("v")))
+        part = F.max(place - F.floor(place))
+        made.append((low + part * (high - low)).alias(name))
+    return rows.agg(*made)

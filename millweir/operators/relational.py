@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from millweir.functions import kernels as K
 from millweir.functions.conditions import StepError, combine, need
-from millweir.operators.ordering import ascending, carry, order_names, rank_key, running
+from millweir.operators.ordering import ascending, carry, exact_quantiles, order_names, rank_key, running
 from millweir.operators.registry import ROW_ID, Context, step
 from millweir.operators.scalar import cast, is_text, out, snake
 
@@ -98,7 +98,11 @@ def fill_mean(df, p, ctx):
 
 @step("fill_median", "missing", "columns*:columns")
 def fill_median(df, p, ctx):
-    return _fill_from(df, p["columns"], F.median)
+    for c in p["columns"]:
+        wide = beside(df, exact_quantiles(df, number(df, c), {"_fill": 0.5}))
+        value = F.round("_fill", 2)
+        df = wide.withColumn(c, filled(df, c, K.text(value) if is_text(df, c) else value)).select(df.columns)
+    return df
 
 
 @step("fill_mode", "missing", "columns*:columns")
@@ -138,7 +142,7 @@ def smart_impute(df, p, ctx):
     if numeric:
         v = number(df, name)
         by_group = df.groupBy(*groups).agg(F.median(v).alias("_group")) if groups else None
-        one = df.agg(F.median(v).alias("_all"))
+        one = exact_quantiles(df, v, {"_all": 0.5})
         full = F.round(F.coalesce(v, *([F.col("_group")] if groups else []), F.col("_all")), 2)
         value = K.text(full) if is_text(df, name) else full
     else:
@@ -616,8 +620,7 @@ def schema_evolution_align(df, p, ctx):
 def clip_outliers(df, p, ctx):
     """Values beyond factor times the interquartile range of the quartiles are set to that bound; by interpolated quartiles."""
     v, k = number(df, p["column"]), float(p["factor"])
-    q = lambda at: F.call_function("percentile", v, F.lit(at))
-    wide = beside(df, df.agg(q(0.25).alias("_q1"), q(0.75).alias("_q3")))
+    wide = beside(df, exact_quantiles(df, v, {"_q1": 0.25, "_q3": 0.75}))
     iqr = F.col("_q3") - F.col("_q1")
     bounded = F.round(F.when(v.isNotNull(), F.least(F.greatest(v, F.col("_q1") - k * iqr), F.col("_q3") + k * iqr)), 2)
     return wide.withColumn(p["column"], bounded).select(df.columns)

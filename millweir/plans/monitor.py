@@ -12,20 +12,20 @@ from pyspark.sql import functions as F
 HISTORY, LEAST = 48, 5
 
 
-def robust_z(value: Column, past: Column) -> Column:
+def typical(rows: DataFrame, keys: list[str], past: str) -> DataFrame:
+    """rows' keys with the median of an array column and the median distance from it, by two groupings of its elements."""
+    long = rows.select(*keys, F.explode(past).alias("_x"))
+    middle = long.groupBy(*keys).agg(F.median("_x").alias("typical"), F.count(F.lit(1)).alias("known"), F.collect_list("_x").alias("_all"))
+    away = middle.select(*keys, "typical", "known", F.explode("_all").alias("_x"))
+    return away.groupBy(*keys, "typical", "known").agg(F.median(F.abs(F.col("_x") - F.col("typical"))).alias("spread"))
+
+
+def robust_z(value: Column, middle: Column, spread: Column) -> Column:
     """Distance from the median in robust standard deviations; without spread, 5 % of the median counts as one, else 1."""
-    middle = _median(past)
-    spread = _median(F.transform(past, lambda x: F.abs(x - middle)))
     unit = F.when(spread > 0, spread).when(F.abs(middle) > 0, F.abs(middle) * 0.05).otherwise(1.0)
     return (value - middle) / (1.4826 * unit)
 
 
-def _median(values: Column) -> Column:
-    s, n = F.array_sort(values), F.size(values)
-    at = lambda i: F.get(s, i.cast("int"))
-    return (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
-
-
 #: (kind, measure, least z, direction, relative or absolute change)
 CHECKS = [("volume_drop", "records", 3.0, -1, 0.2), ("volume_rise", "records", 3.0, 1, 0.2), ("quality", "quality", 3.0, -1, None), ("duration", "duration", 3.5, 1, 0.6), ("cost", "cost", 4.0, 1, 0.8)]
 
@@ -34,15 +34,16 @@ def anomalies(runs: DataFrame) -> DataFrame:
     """(pipeline, run_id, kind, value, typical, z) of each succeeded run that departs from the succeeded runs before it, and schema changes."""
     good = runs.where("status = 'succeeded'")
     past = Window.partitionBy("pipeline").orderBy("started_at", "run_id").rowsBetween(-HISTORY, -1)
-    wide = good.select("*", *[F.collect_list(F.col(m).cast("double")).over(past).alias(f"past_{m}") for m in ("records", "quality", "duration", "cost")])
+    wide = good.select("pipeline", "run_id", *[F.struct(F.col(m).cast("double").alias("value"), F.collect_list(F.col(m).cast("double")).over(past).alias("past")).alias(m) for m in ("records", "quality", "duration", "cost")])
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"{m}.value").alias("value"), F.col(f"{m}.past").alias("past")) for m in ("records", "quality", "duration", "cost")])
+    long = wide.select("pipeline", "run_id", F.inline(each)).where(F.size("past") >= LEAST)
+    seen = typical(long, ["pipeline", "run_id", "measure", "value"], "past")
+    z = robust_z(F.col("value"), F.col("typical"), F.col("spread"))
     rows = []
     for kind, m, least, sign, change in CHECKS:
-        value, history = F.col(m).cast("double"), F.col(f"past_{m}")
-        z, typical = robust_z(value, history), _median(history)
-        moved = (value - typical) * sign > (F.abs(typical) * change if change is not None else F.lit(3.0))
-        hit = (F.size(history) >= LEAST) & (z * sign > least) & moved
-        rows.append(F.when(hit, F.struct(F.lit(kind).alias("kind"), value.alias("value"), typical.alias("typical"), F.round(z, 3).alias("z"))))
-    found = wide.select("pipeline", "run_id", F.inline(F.filter(F.array(*rows), lambda x: x.isNotNull())))
+        moved = (F.col("value") - F.col("typical")) * sign > (F.abs("typical") * change if change is not None else F.lit(3.0))
+        rows.append(F.when((F.col("measure") == m) & (z * sign > least) & moved, F.lit(kind)))
+    found = seen.withColumn("kind", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull()))).select("pipeline", "run_id", "kind", "value", "typical", F.round(z, 3).alias("z"))
     order = Window.partitionBy("pipeline").orderBy("started_at", "run_id")
     schema = runs.withColumn("before", F.lag("schema_hash").over(order)).where("before is not null and before <> schema_hash")
     none = F.lit(None).cast("double")

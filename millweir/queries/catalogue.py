@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from millweir.queries import checks, transforms
+from millweir.queries import checks, engine, transforms
 
-QUERIES = {**checks.QUERIES, **transforms.QUERIES}
-ORACLES = {**checks.ORACLES, **transforms.ORACLES}
+QUERIES = {**checks.QUERIES, **transforms.QUERIES, **engine.QUERIES}
+ORACLES = {**checks.ORACLES, **transforms.ORACLES, **engine.ORACLES}
 flagship = transforms.QUERIES["flagship"]
