@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Bound of the labelled sample, width of the hashed features, width of the hashed word counts, passes of the training.
 TRAIN_ROWS, WIDTH, WORD_BUCKETS, PASSES = 30_000, 1 << 16, 1 << 20, 6
-THRESHOLD = 0.5
+THRESHOLD, DOUBT = 0.5, 0.25
 
 _WORD = re.compile(r"\w+", re.UNICODE)
 #: Up to and with a final mark; a point within a number ends nothing.
@@ -254,7 +254,12 @@ def train(sample: list[tuple[str, str]], context: Context, seed: int = 7) -> Mod
             if len(long) > limit and (cut := _cut_at(long, unit, limit, rng)):
                 rows.append(features(cut, where, context))
                 labels.append(1)
-    return fit(rows, labels, seed) if rows else Model(np.zeros(WIDTH), -20.0)
+    if not rows:
+        return Model(np.zeros(WIDTH), -20.0)
+    # some of the sample were cut themselves, and the first model half sees it: they are left out of the second
+    first = fit(rows, labels, seed)
+    kept = [i for i, r in enumerate(rows) if labels[i] or first.score(r) < DOUBT]
+    return fit([rows[i] for i in kept], [labels[i] for i in kept], seed)
 
 
 def learn(df: DataFrame, row_id: str, text: str, group: list[str]) -> tuple[Model, Context]:
