@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millweir.session import materialize
+
 QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 #: A mask is dominant from this share of the typical load on.
 DOMINANT_SHARE = 0.002
@@ -117,21 +117,28 @@ def divergences(items: DataFrame) -> DataFrame:
 _SCORED = "col_name string, load_id int, n_rows long, null_share double, n_distinct long, min_value string, max_value string, quantiles array<double>, rare_share double, mask_jsd double, value_jsd double, departs boolean, reasons array<string>"
 
 
-def _far(x: np.ndarray, floor: float | np.ndarray, noise: np.ndarray | float) -> np.ndarray:
+def _far(x, floor, noise):  # noqa: ANN001, ANN202 - numpy arrays; numpy and pandas are loaded in the workers only
+    import numpy as np
+
     middle = np.nanmedian(x)
     spread = 1.4826 * np.nanmedian(np.abs(x - middle))
     with np.errstate(invalid="ignore"):
         return np.abs(x - middle) > np.maximum(np.maximum(floor, ROBUST_SDS * spread), noise)
 
 
-def score_loads(rows: pd.DataFrame) -> pd.DataFrame:
+def score_loads(table):  # noqa: ANN001, ANN201 - an Arrow table to an Arrow table
     """One column's loads, each with the metrics in which it departs. Its size is the number of loads."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    rows = table.to_pandas()
     rows = rows.sort_values("load_id", na_position="first").reset_index(drop=True)
     n = rows["n_rows"].to_numpy(float)
     filled = np.maximum(n - rows["n_null"].to_numpy(float), 0)
     reasons: list[list[str]] = [[] for _ in rows.index]
 
-    def note(name: str, flags: np.ndarray) -> None:
+    def note(name: str, flags) -> None:  # noqa: ANN001
         for i in np.flatnonzero(flags):
             if name not in reasons[i]:
                 reasons[i].append(name)
@@ -161,7 +168,9 @@ def score_loads(rows: pd.DataFrame) -> pd.DataFrame:
             inner, outer = max(typical[3] - typical[1], 1e-9), max(typical[4] - typical[0], 1e-9)
             for k, unit in enumerate((outer, inner, inner, inner, outer)):
                 note("range", _far(q[:, k], FLOORS["quantile"] * unit, 4 * unit / np.sqrt(np.maximum(filled, 1))))
-    return pd.DataFrame({"col_name": rows["col_name"], "load_id": rows["load_id"], "n_rows": rows["n_rows"], "null_share": nulls, "n_distinct": rows["n_distinct"], "min_value": rows["min_value"], "max_value": rows["max_value"], "quantiles": rows["quantiles"], "rare_share": rare, "mask_jsd": rows["mask_jsd"], "value_jsd": rows["value_jsd"], "departs": [bool(r) for r in reasons], "reasons": reasons})
+    made = pd.DataFrame({"col_name": rows["col_name"], "load_id": rows["load_id"], "n_rows": rows["n_rows"], "null_share": nulls, "n_distinct": rows["n_distinct"], "min_value": rows["min_value"], "max_value": rows["max_value"], "quantiles": rows["quantiles"], "rare_share": rare, "mask_jsd": rows["mask_jsd"], "value_jsd": rows["value_jsd"], "departs": [bool(r) for r in reasons], "reasons": reasons})
+    kinds = {"load_id": pa.int32(), "n_rows": pa.int64(), "n_distinct": pa.int64(), "min_value": pa.string(), "max_value": pa.string(), "col_name": pa.string(), "departs": pa.bool_(), "reasons": pa.list_(pa.string()), "quantiles": pa.list_(pa.float64())}
+    return pa.Table.from_pandas(made, pa.schema([(c, kinds.get(c, pa.float64())) for c in made.columns]), preserve_index=False)
 
 
 def profile_loads(df: DataFrame, load: str, columns: list[str] | None = None) -> DataFrame:
@@ -172,9 +181,10 @@ def profile_loads(df: DataFrame, load: str, columns: list[str] | None = None) ->
     columns: None for all; nested and binary columns are left out. An empty table gives no rows.
     """
     metrics = column_metrics(df, load, columns)
-    parts = divergences(typical_items(mask_histogram(df, load, columns)))
+    # the histogram is small and read several times: written once, it keeps the plans small
+    parts = divergences(materialize(typical_items(materialize(mask_histogram(df, load, columns), "masks")), "items"))
     both = metrics.join(parts, (metrics.col_name == parts.col_name) & metrics.load_id.eqNullSafe(parts.load_id), "left").drop(parts.col_name).drop(parts.load_id)
-    return both.groupBy("col_name").applyInPandas(score_loads, _SCORED)
+    return both.groupBy("col_name").applyInArrow(score_loads, _SCORED)
 
 
 def mask_violations(df: DataFrame, load: str, columns: list[str] | None = None) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import difflib
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -199,7 +198,7 @@ def remove_duplicates(df, p, ctx):
 
 
 def _similar(threshold: float):  # noqa: ANN202
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows):  # noqa: ANN001, ANN202 - pandas is loaded in the workers
         rows = rows.sort_values("_place", kind="stable")
         heads: list[str] = []
         label = []

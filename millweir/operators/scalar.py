@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import unicodedata
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,16 +89,18 @@ def remove_special_characters(df, p, ctx):
     return on_texts(df, p, lambda c: F.regexp_replace(c, rf"(?U)[^\w\s{K.quote(p.get('keep') or '')}]", ""))
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+@functools.cache
+def _nfkc():  # noqa: ANN202 - made when first used, since it loads pandas in the driver
+    from pyspark.sql.pandas.functions import PandasUDFType
+
+    return F.pandas_udf(lambda values: values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore"), T.StringType(), PandasUDFType.SCALAR)
 
 
 @step("normalize_strings", "clean", "columns:columns", stream=True)
 def normalize_strings(df, p, ctx):
     # only values beyond ASCII can change under NFKC; ANDing their mask keeps the rest out of Python's sight as nulls
     wide = lambda c: c.rlike(r"[^\x00-\x7F]")
-    return on_texts(df, p, lambda c: K.strip(K.squeeze(F.coalesce(_nfkc(F.when(wide(c), c)), c))))
+    return on_texts(df, p, lambda c: K.strip(K.squeeze(F.coalesce(_nfkc()(F.when(wide(c), c)), c))))
 
 
 @step("clean_punctuation", "clean", "columns*:columns", stream=True)
