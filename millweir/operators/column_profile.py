@@ -4,12 +4,14 @@ Values are generalised to character-class masks: letters to a or A, digits to 9,
 count. The masks of a column that hold a share in its typical load are its dominant patterns, all others are rare-mask violations.
 A load departs when its null share, its rate of violations, its distinct values, its range, or its distribution of masks and
 values lies far from the median of all loads, measured by the spread of the loads themselves; medians ignore departing loads, so
-a usual load after a departing one stays usual.
+a usual load after a departing one stays usual. Numbers are compared by the column's own data: exact values where a typical load
+repeats few of them, otherwise bins between the quantiles of the typical load; values rare in it are the implausible ones.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,10 @@ from pyspark.sql import types as T
 from millweir.session import materialize
 
 QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
+#: The quantiles of the typical load that part a column's values into bins.
+GRID = [k / 32 for k in range(1, 32)]
+#: A column whose typical load has so many distinct numbers at most, each so often on average, is compared by exact values, kept apart within SPAN.
+FEW_VALUES, REPEATED, SPAN = 256, 8, 4096
 #: A mask is dominant from this share of the typical load on.
 DOMINANT_SHARE = 0.002
 #: The least deviation from the column's median that may count, by metric; the last three are in units of the column's spread or ratio.
@@ -40,22 +46,33 @@ def value_mask(col: Column, kind: T.DataType) -> Column:
     return F.regexp_replace(F.regexp_replace(mask, r"[aA9]{4,}", "x"), r"([aAx9][^aAx9]){6,}", "+")
 
 
-def value_bucket(col: Column, kind: T.DataType) -> Column:
-    """A coarse bucket of the value itself: of the last twelve letters of a text, or the sign and magnitude of a number."""
+def value_bucket(col: Column, kind: T.DataType, bins: list[float] | None = None) -> Column:
+    """A bucket of the value itself: of the last twelve letters of a text, or the sign and magnitude of a number with its bin.
+
+    bins: the edges between bins; none at all ([]) for exact values, whole numbers SPAN apart or other numbers of one hash falling together
+    only if their magnitudes do; None for the magnitude alone.
+    """
     if isinstance(kind, T.StringType):
-        return F.pmod(F.xxhash64(F.lower(F.right(col, F.lit(12)))), F.lit(256)).cast("int")
+        return F.pmod(F.xxhash64(F.lower(F.right(col, F.lit(12)))), F.lit(256)).cast("long")
     if isinstance(kind, T.NumericType):
         number = col.cast("double")
-        return (F.signum(number) * F.floor(F.log2(F.abs(number) + 1) * 2)).try_cast("int")
-    return F.lit(None).cast("int")
+        magnitude = (F.signum(number) * F.floor(F.log2(F.abs(number) + 1) * 2)).try_cast("int").cast("long")
+        if bins is None:
+            return magnitude
+        if bins:
+            part = reduce(lambda x, y: x + y, [(number >= F.lit(e)).cast("int") for e in bins])
+        else:
+            part = F.when(F.rint(number) == number, F.pmod(number, F.lit(float(SPAN))).try_cast("int")).otherwise(F.pmod(F.xxhash64(number), F.lit(SPAN)).cast("int"))
+        return magnitude * (2 * SPAN) + part
+    return F.lit(None).cast("long")
 
 
 def _columns(df: DataFrame, load: str, columns: list[str] | None) -> list[T.StructField]:
     return [f for f in df.schema.fields if f.name != load and (columns is None or f.name in columns) and isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.BinaryType)]
 
 
-def column_metrics(df: DataFrame, load: str, columns: list[str] | None = None) -> DataFrame:
-    """A row for each column and load: rows, nulls, distinct values (about 1 %), least and greatest value, quantiles of numbers.
+def column_metrics(df: DataFrame, load: str, columns: list[str] | None = None, points: list[float] = QUANTILES) -> DataFrame:
+    """A row for each column and load: rows, nulls, distinct values (about 1 %), least and greatest value, quantiles of numbers (at points).
 
     One scan and one aggregation whatever the number of columns; rows without a load are a load of their own (null).
     """
@@ -65,17 +82,27 @@ def column_metrics(df: DataFrame, load: str, columns: list[str] | None = None) -
         numeric = isinstance(f.dataType, T.NumericType)
         aggs += [F.count(c).alias(f"c{i}"), F.approx_count_distinct(c, 0.01).alias(f"d{i}"), F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}")]
         if numeric:
-            aggs.append(F.percentile_approx(c.cast("double"), QUANTILES, 2000).alias(f"q{i}"))
+            aggs.append(F.percentile_approx(c.cast("double"), points, 2000).alias(f"q{i}"))
         quantiles = F.col(f"q{i}") if numeric else F.lit(None).cast("array<double>")
         rows.append(F.struct(F.lit(f.name).alias("col_name"), (F.col("n") - F.col(f"c{i}")).alias("n_null"), F.col(f"d{i}").alias("n_distinct"), F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value"), quantiles.alias("quantiles")))
     wide = df.groupBy(_quoted(load).cast("int").alias("load_id")).agg(*aggs)
     return wide.select("load_id", F.col("n").alias("n_rows"), F.inline(F.array(*rows)))
 
 
-def mask_histogram(df: DataFrame, load: str, columns: list[str] | None = None) -> DataFrame:
+def typical_bins(metrics: DataFrame) -> dict[str, list[float]]:
+    """The bins of each column of numbers, for value_bucket; metrics have the quantiles QUANTILES + GRID. The driver gets len(GRID) numbers a column."""
+    filled = metrics.where(F.col("quantiles").isNotNull())
+    sizes = filled.groupBy("col_name").agg(F.median("n_distinct").alias("distinct"), F.median(F.col("n_rows") - F.col("n_null")).alias("n"))
+    few = F.col("distinct") <= F.least(F.lit(FEW_VALUES), F.col("n") / REPEATED)
+    edges = filled.select("col_name", F.posexplode(F.slice("quantiles", len(QUANTILES) + 1, len(GRID))).alias("at", "edge")).where(~F.isnan("edge")).groupBy("col_name", "at").agg(F.median("edge").alias("edge"))
+    edges = edges.groupBy("col_name").agg(F.array_sort(F.collect_set("edge")).alias("edges"))
+    return {r.col_name: [] if r.few else r.edges for r in sizes.join(edges, "col_name").select("col_name", few.alias("few"), "edges").collect()}
+
+
+def mask_histogram(df: DataFrame, load: str, columns: list[str] | None = None, bins: dict[str, list[float]] | None = None) -> DataFrame:
     """(col_name, load_id, kind, item, n): how often each mask and each bucket of values occurs, combined before the shuffle."""
     parts = [
-        F.struct(F.lit(f.name).alias("col_name"), value_mask(_quoted(f.name), f.dataType).alias("mask"), value_bucket(_quoted(f.name), f.dataType).alias("bucket"))
+        F.struct(F.lit(f.name).alias("col_name"), value_mask(_quoted(f.name), f.dataType).alias("mask"), value_bucket(_quoted(f.name), f.dataType, (bins or {}).get(f.name)).alias("bucket"))
         for f in _columns(df, load, columns)
     ]
     long = df.select(_quoted(load).cast("int").alias("load_id"), F.inline(F.array(*parts))).where(F.col("mask").isNotNull())
@@ -97,7 +124,7 @@ def typical_items(hist: DataFrame) -> DataFrame:
 
 
 def divergences(items: DataFrame) -> DataFrame:
-    """Per column and load: the Jensen-Shannon divergence of masks and of values from the typical load, and the rate of rare masks.
+    """Per column and load: the Jensen-Shannon divergence of masks and of values from the typical load, and the rates of rare masks and rare values.
 
     Items absent from a load need no rows: each adds half its typical share, so together half of what the present ones leave.
     """
@@ -111,7 +138,7 @@ def divergences(items: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("typical") < DOMINANT_SHARE, p).otherwise(0.0)).alias("rare_share"),
     )
     one = lambda kind, what: F.max(F.when(F.col("kind") == kind, F.col(what)))
-    return per.groupBy("col_name", "load_id").agg(one("mask", "jsd").alias("mask_jsd"), one("value", "jsd").alias("value_jsd"), one("mask", "rare_share").alias("rare_share"))
+    return per.groupBy("col_name", "load_id").agg(one("mask", "jsd").alias("mask_jsd"), one("value", "jsd").alias("value_jsd"), one("mask", "rare_share").alias("rare_share"), one("value", "rare_share").alias("rare_values"))
 
 
 _SCORED = "col_name string, load_id int, n_rows long, null_share double, n_distinct long, min_value string, max_value string, quantiles array<double>, rare_share double, mask_jsd double, value_jsd double, departs boolean, reasons array<string>"
@@ -160,10 +187,12 @@ def score_loads(table):  # noqa: ANN001, ANN201 - an Arrow table to an Arrow tab
         distinct = blank(np.log(np.maximum(rows["n_distinct"].to_numpy(float), 1)))
         logs, counts = np.log(np.maximum(ratio, 1e-9)), distinct
         noise = STANDARD_ERRORS / np.sqrt(np.maximum(rows["n_distinct"].to_numpy(float), 1))
-        note("distinct", _far(logs, FLOORS["distinct"], noise) & _far(counts, FLOORS["distinct"], noise) & (logs < np.nanmedian(logs)))
+        note("distinct", _far(logs, FLOORS["distinct"], noise) & _far(counts, FLOORS["distinct"], noise) & ((logs < np.nanmedian(logs)) == (counts < np.nanmedian(counts))))
         quantiles = [q if q is not None and len(q) == len(QUANTILES) else [math.nan] * len(QUANTILES) for q in rows["quantiles"]]
         q = np.where(enough[:, None], np.array(quantiles, float), np.nan)
         if not np.isnan(q).all():
+            odd = rows["rare_values"].fillna(0).to_numpy(float)
+            note("rare_values", _far(blank(odd), FLOORS["rare_share"], share_noise(odd, filled)))
             typical = np.nanmedian(q, axis=0)
             inner, outer = max(typical[3] - typical[1], 1e-9), max(typical[4] - typical[0], 1e-9)
             for k, unit in enumerate((outer, inner, inner, inner, outer)):
@@ -180,9 +209,11 @@ def profile_loads(df: DataFrame, load: str, columns: list[str] | None = None) ->
     has no masks there (rare_share 0, divergences null). A load with fewer than ten values is judged by its null share alone.
     columns: None for all; nested and binary columns are left out. An empty table gives no rows.
     """
-    metrics = column_metrics(df, load, columns)
+    fine = materialize(column_metrics(df, load, columns, QUANTILES + GRID), "metrics")
+    bins = typical_bins(fine)
+    metrics = fine.withColumn("quantiles", F.slice("quantiles", 1, len(QUANTILES)))
     # the histogram is small and read several times: written once, it keeps the plans small
-    parts = divergences(materialize(typical_items(materialize(mask_histogram(df, load, columns), "masks")), "items"))
+    parts = divergences(materialize(typical_items(materialize(mask_histogram(df, load, columns, bins), "masks")), "items"))
     both = metrics.join(parts, (metrics.col_name == parts.col_name) & metrics.load_id.eqNullSafe(parts.load_id), "left").drop(parts.col_name).drop(parts.load_id)
     return both.groupBy("col_name").applyInArrow(score_loads, _SCORED)
 

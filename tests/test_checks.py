@@ -1,4 +1,8 @@
-from millweir.operators.column_profile import mask_violations, profile_loads
+import math
+
+import pyarrow as pa
+
+from millweir.operators.column_profile import mask_violations, profile_loads, score_loads
 from millweir.operators.orphans import find_orphans, parent_validity
 from millweir.skew import hot_keys, salted_join
 
@@ -59,6 +63,24 @@ def test_profile_finds_the_departing_load_only(spark):
         assert {(r.col_name, r.load_id) for r in rows} == expected, changed
 
 
+def test_profile_sees_changes_among_plausible_years(spark):
+    """Defaults, a shift by one year and an implausible year leave masks, magnitudes and most quantiles as they are."""
+    # as in a table of cars: 24 % of the newest year, each year before it a quarter less
+    usual = [2024 - min(14, int(-3.6 * math.log(1 - (i * 0.618034) % 1))) for i in range(2000)]
+    odd = {3: lambda i, y: 2022 if i % 5 == 0 else y, 5: lambda i, y: y - 1, 7: lambda i, y: 2018 if i % 20 < 3 else y, 8: lambda i, y: 2040 if i % 200 < 9 else y}
+    rows = [(load, odd.get(load, lambda i, y: y)(i, y), 1000.0 + (i * 7919 + load * 31) % 90_001 / 3) for load in range(1, 13) for i, y in enumerate(usual)]
+    rows = [(load, y, 15_000.0 if load == 9 and i % 5 == 0 else price) for i, (load, y, price) in enumerate(rows)]
+    found = profile_loads(spark.createDataFrame(rows, "load int, year int, price double"), "load").where("departs").collect()
+    assert {(r.col_name, r.load_id) for r in found} == {("year", x) for x in odd} | {("price", 9)}
+
+
+def test_distinct_values_are_compared_on_both_sides():
+    rows = [("k", load, 2000, 0, 1000 if load == 3 else 400 if load == 5 else 700, "a", "b", None, 0.0, 0.0, 0.0, 0.0) for load in range(1, 9)]
+    names = ["col_name", "load_id", "n_rows", "n_null", "n_distinct", "min_value", "max_value", "quantiles", "rare_share", "mask_jsd", "value_jsd", "rare_values"]
+    got = score_loads(pa.table({c: [r[i] for r in rows] for i, c in enumerate(names)})).to_pylist()
+    assert {r["load_id"]: r["reasons"] for r in got if r["departs"]} == {3: ["distinct"], 5: ["distinct"]}
+
+
 def test_profile_edges(spark):
     df = spark.createDataFrame([(1, None, 1.5), (None, "x" * 50_000, None), (2, "", float("nan")), (2, "", float("nan"))], "load int, a string, `b.c` double")
     rows = profile_loads(df, "load").collect()
