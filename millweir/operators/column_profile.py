@@ -220,5 +220,5 @@ def profile_loads(df: DataFrame, load: str, columns: list[str] | None = None) ->
 
 def mask_violations(df: DataFrame, load: str, columns: list[str] | None = None) -> DataFrame:
     """The rare masks of each column by load, with their number and share of the load."""
-    items = typical_items(mask_histogram(df, load, columns))
+    items = typical_items(materialize(mask_histogram(df, load, columns), "masks"))
     return items.where((F.col("kind") == "mask") & (F.col("typical") < DOMINANT_SHARE)).select("col_name", "load_id", F.col("item").alias("mask"), "n", "share", "typical")

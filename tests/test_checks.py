@@ -1,9 +1,11 @@
 import math
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from millweir.operators.column_profile import mask_violations, profile_loads, score_loads
 from millweir.operators.orphans import find_orphans, parent_validity
+from millweir.queries.checks import QUERIES
 from millweir.skew import hot_keys, salted_join
 
 DEALERS = "dealer_id long, load_id int, kind string"
@@ -81,6 +83,14 @@ def test_distinct_values_are_compared_on_both_sides():
     assert {r["load_id"]: r["reasons"] for r in got if r["departs"]} == {3: ["distinct"], 5: ["distinct"]}
 
 
+def test_masks_query_lists_every_column(spark, tmp_path):
+    n = spark.range(3000).withColumn("load_id", F.expr("cast(id % 3 as int)"))
+    n.selectExpr("load_id", "if(id = 7, '?', 'AB12') as vin", "if(id = 8, '--', 'sold') as status", "if(id = 9, 12345, 12) as dealer_id", "2020 as model_year").write.parquet(f"{tmp_path}/inventory.parquet")
+    n.selectExpr("load_id", "if(id = 7, '?!', 'Ann Bee') as full_name", "if(id = 8, 'none', '12 34') as phone").write.parquet(f"{tmp_path}/sales_reps.parquet")
+    got = {(r.tbl_name, r.col_name, r.load_id, r.mask, r.n) for r in QUERIES["p1_masks"](spark, str(tmp_path)).collect()}
+    assert got == {("inventory", "vin", 1, "?", 1), ("inventory", "status", 2, "--", 1), ("inventory", "dealer_id", 0, "99999", 1), ("sales_reps", "full_name", 1, "?!", 1), ("sales_reps", "phone", 2, "a", 1)}
+
+
 def test_profile_edges(spark):
     df = spark.createDataFrame([(1, None, 1.5), (None, "x" * 50_000, None), (2, "", float("nan")), (2, "", float("nan"))], "load int, a string, `b.c` double")
     rows = profile_loads(df, "load").collect()
