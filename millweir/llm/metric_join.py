@@ -8,9 +8,13 @@ Distances to a few pivots prune pairs before the metric itself is computed. Cell
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millweir.llm.editing import distance
 from millweir.session import materialize
 from millweir.skew import salted_join
 
@@ -75,6 +79,20 @@ def radius_pairs(strings: DataFrame, radius: int, cell: int = CELL) -> DataFrame
     return both.select("block", "a", "b", F.levenshtein("a", "b").alias("d"))
 
 
+def damerau_pairs(strings: DataFrame, radius: int) -> DataFrame:
+    """radius_pairs under the Damerau-Levenshtein distance: a swap costs 2 plain edits at most, so twice the radius encloses all pairs."""
+    wide = radius_pairs(strings, 2 * radius).where(F.abs(F.length("a") - F.length("b")) <= radius)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, d = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            # one plain edit is one edit of either kind
+            exact = [z if z < 2 else distance(x, y, radius) for x, y, z in zip(a, b, d, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(exact, pa.int32())], ["block", "a", "b", "d"])
+
+    return wide.mapInArrow(run, "block string, a string, b string, d int").where(F.col("d") <= radius)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the least node of each node's connected component; edges (a, b), nodes of any ordered type.
 
