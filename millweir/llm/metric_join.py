@@ -9,6 +9,7 @@ Distances to a few pivots prune pairs before the metric itself is computed. Cell
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +21,8 @@ from millweir.skew import salted_join
 
 #: Strings a cell may hold before it is split, pivots of one split, distances kept for pruning, and splits in a row.
 CELL, MOST_PIVOTS, ANCHORS, LEVELS = 1500, 768, 8, 4
+#: Words up to this length are joined by what is left of them after deletions; of longer ones that would be too much.
+LONGEST_WORD = 32
 #: A split that repeats strings more often than this on average is not worth it.
 MOST_REPEATS = 12
 
@@ -93,6 +96,32 @@ def damerau_pairs(strings: DataFrame, radius: int) -> DataFrame:
     return wide.mapInArrow(run, "block string, a string, b string, d int").where(F.col("d") <= radius)
 
 
+def near_words(words: DataFrame, radius: int) -> DataFrame:
+    """(a, b, d): all pairs a < b of distinct words with Damerau-Levenshtein distance d of at most radius. words: (key).
+
+    Each edit, swaps as well, costs each side one letter at most: two words within radius share what is left of them after deleting up
+    to radius letters of each. Joining on these remainders loses nothing. Pairs with a long word come from the radius join.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in batch.column(0).to_pylist():
+                left = {"".join(kept) for k in range(min(radius, len(w)) + 1) for kept in combinations(w, len(w) - k)}
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(left), pa.string()), pa.array([w] * len(left), pa.string())], ["part", "a"])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = [distance(x, y, radius) for x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d, pa.int32())], ["a", "b", "d"])
+
+    distinct = words.where("key is not null").select("key").distinct()
+    parts = materialize(distinct.where(F.length("key") <= LONGEST_WORD).mapInArrow(run, "part string, a string"), "parts")
+    met = parts.join(parts.withColumnRenamed("a", "b"), "part").where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= radius)).select("a", "b").distinct()
+    short = met.mapInArrow(measure, "a string, b string, d int").where(F.col("d") <= radius)
+    long = damerau_pairs(distinct.where(F.length("key") > LONGEST_WORD - radius).select(F.lit("").alias("block"), "key"), radius)
+    return short.union(long.where(F.greatest(F.length("a"), F.length("b")) > LONGEST_WORD).select("a", "b", "d"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the least node of each node's connected component; edges (a, b), nodes of any ordered type.
 
