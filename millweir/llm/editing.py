@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 
 #: Letters that Unicode does not decompose.
 UNDECOMPOSED = {"ø": "o", "đ": "d", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ı": "i"}
 
+_OTHER = re.compile(r"[\W_]+")
+
 
-@functools.lru_cache(maxsize=65_536)
 def fold(text: str) -> str:
     """Lower case without accents and invisible characters; every run of other characters than letters and digits is one blank."""
+    if text.isascii():
+        return _OTHER.sub(" ", text.lower()).strip()
     low = "".join(UNDECOMPOSED.get(c, c) for c in unicodedata.normalize("NFKC", text).casefold() if unicodedata.category(c) != "Cf")
     plain = "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
-    return re.sub(r"[\W_]+", " ", plain).strip()
+    return _OTHER.sub(" ", plain).strip()
 
 
 def distance(a: str, b: str, most: int) -> int:

@@ -1,125 +1,113 @@
-"""Exact radius joins of strings under an edit metric, by metric-space partitioning, and connected components of the links.
+"""Exact radius joins of strings under the Damerau-Levenshtein metric, by metric-space partitioning, and components of the links.
 
-Strings are joined within blocks. A small block is one cell. A larger one gets pivots, drawn from it by a hash: each string belongs
-to the cell of its nearest pivot p and is repeated in the cell of every pivot q with d(x, q) <= d(x, p) + 2 r. By the triangle
-inequality two strings within r of each other then share the cell of the nearer one's pivot, so joining inside cells loses nothing.
-Distances to a few pivots prune pairs before the metric itself is computed. Cells that are still large are split again.
+Every distinct string of a cell is a pivot of its own, at distance 0. By the triangle inequality all strings within the radius r of it
+lie within 0 + r of its pivot, so repeating each string in the cells of the pivots within r, and joining inside cells, loses nothing.
+Pivots drawn as a sample don't part typed names, which all lie at much the same distance from each other: with 512 pivots for 5 362
+names, radius 2, a name is repeated in 75 cells, and the cells hold eleven times as many pairs as the whole table.
+
+The pivots within r of a string are found by signatures that two strings within r always share: what is left of a short one after
+deleting up to r letters, the pieces of a long one. A cell of up to CELL strings is joined as it is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import comb
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millweir.llm.editing import distance
 from millweir.session import materialize
 from millweir.skew import salted_join
 
-#: Strings a cell may hold before it is split, pivots of one split, distances kept for pruning, and splits in a row.
-CELL, MOST_PIVOTS, ANCHORS, LEVELS = 1500, 768, 8, 4
-#: Words up to this length are joined by what is left of them after deletions; of longer ones that would be too much.
-LONGEST_WORD = 32
-#: A split that repeats strings more often than this on average is not worth it.
-MOST_REPEATS = 12
-
-
-def _split(items: DataFrame, radius: int, cell: int) -> DataFrame:
-    """items (cell, key, ...) with the strings of large cells moved to the cells of their pivots."""
-    sizes = items.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell)
-    # about n / 100 pivots, drawn by hash; a cell whose draw is empty stays whole
-    drawn = salted_join(items.select("cell", "key"), sizes, "cell", F.col("key")).where(F.pmod(F.xxhash64(F.lit(17), "key"), F.col("n")) < F.least(F.col("n") / 100, F.lit(MOST_PIVOTS)))
-    pivots = drawn.groupBy("cell").agg(F.slice(F.array_sort(F.collect_set("key")), 1, 2 * MOST_PIVOTS).alias("pivots"))
-    away = salted_join(items, pivots, "cell", F.col("key"), "left")
-    small = away.where("pivots is null").select(items.columns)
-    far = away.where("pivots is not null").withColumn("d", F.transform("pivots", lambda p: F.levenshtein("key", p)))
-    near = far.withColumn("limit", F.array_min("d") + 2 * radius)
-    cells = near.select("cell", "key", F.slice("d", 1, ANCHORS).alias("anchors"), F.explode(F.filter(F.sequence(F.lit(0), F.size("d") - 1), lambda i: F.get("d", i) <= F.col("limit"))).alias("p"))
-    moved = cells.select(F.xxhash64("cell", "p").alias("cell"), "key", "anchors", F.xxhash64(F.lit(3), "cell").alias("anchored"))
-    return small.unionByName(moved)
-
-
-def _halves(items: DataFrame) -> DataFrame:
-    """Cells of equal halves, lossless for radius 1: one edit leaves the first or the last half of the shorter string as it is.
-
-    A string is met by others of its length and by longer and shorter ones, so it takes the halves for its own length and one less.
-    """
-    n = F.length("key")
-    sizes = F.array_distinct(F.transform(F.array(n, n - 1), lambda m: F.least(F.lit(4), F.greatest(F.lit(0), F.floor(m / 2).cast("int")))))
-    parts = F.flatten(F.transform(sizes, lambda k: F.array(F.concat(F.lit("<"), k, F.lit("|"), F.left("key", k)), F.concat(F.lit(">"), k, F.lit("|"), F.right("key", k)))))
-    return items.withColumn("part", F.explode(parts)).withColumn("cell", F.xxhash64("cell", "part")).drop("part").distinct()
+#: Strings that a cell may hold before signatures part it, and deletion signatures that a string may have before pieces take their place.
+CELL, MOST_SIGNATURES = 400, 1000
+
+
+@functools.cache
+def longest_deleted(radius: int) -> int:
+    """The greatest length at which a string has at most MOST_SIGNATURES deletion signatures."""
+    n = radius
+    while sum(comb(n + 1, k) for k in range(radius + 1)) <= MOST_SIGNATURES and n < 200:
+        n += 1
+    return n
 
 
-def radius_pairs(strings: DataFrame, radius: int, cell: int = CELL) -> DataFrame:
-    """(block, a, b, d): all pairs a < b of distinct strings of one block with Levenshtein distance d of at most radius.
+def signatures(key: str, radius: int) -> set[str]:
+    """Strings of which two keys within the radius share at least one.
 
-    strings: (block, key). Nulls are left out, repeated strings count once, empty strings are strings. Strings of any length are compared.
+    Each edit, swaps as well, costs each side one letter at most, so both leave the same rest after up to radius deletions. As plain
+    edits they are 2 radius at most: of 2 radius + 1 pieces one is untouched, and it moves by radius places at most.
     """
-    items = strings.where("block is not null and key is not null").distinct().select(F.xxhash64("block").alias("cell"), F.col("key"), F.array().cast("array<int>").alias("anchors"), F.lit(0).cast("long").alias("anchored"))
-    # the cell's hash stands for the block until the end, where the block is put back
-    items = materialize(_halves(items) if radius == 1 else items, "strings")
-    for _ in range(LEVELS):
-        if not items.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).limit(1).count():
-            break
-        before = items.count()
-        split = materialize(_split(items, radius, cell), "cells")
-        if split.count() > MOST_REPEATS * before:  # the metric doesn't part these strings: their cells stay whole, still exact
-            break
-        items = split
-    a, b = items.alias("a"), items.select("cell", F.col("key").alias("key2"), F.col("anchors").alias("anchors2"), F.col("anchored").alias("anchored2")).alias("b")
-    shape = (F.col("a.key") < F.col("key2")) & (F.abs(F.length("a.key") - F.length("key2")) <= radius)
-    for i in range(ANCHORS):
-        at = F.abs(F.get("a.anchors", F.lit(i)) - F.get("anchors2", F.lit(i)))
-        shape = shape & ((F.col("a.anchored") != F.col("anchored2")) | F.coalesce(at <= radius, F.lit(True)))
-    within = (F.levenshtein("a.key", "key2", radius) >= 0)
-    pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & shape & within).select(F.col("a.key").alias("a"), F.col("key2").alias("b")).distinct()
-    blocks = strings.where("block is not null").distinct()
-    left = pairs.join(blocks.withColumnRenamed("key", "a"), "a")
-    both = left.join(blocks.select("block", F.col("key").alias("b")), ["block", "b"])
-    return both.select("block", "a", "b", F.levenshtein("a", "b").alias("d"))
-
-
-def damerau_pairs(strings: DataFrame, radius: int) -> DataFrame:
-    """radius_pairs under the Damerau-Levenshtein distance: a swap costs 2 plain edits at most, so twice the radius encloses all pairs."""
-    wide = radius_pairs(strings, 2 * radius).where(F.abs(F.length("a") - F.length("b")) <= radius)
+    n, out = len(key), set()
+    if n <= longest_deleted(radius):
+        out = {"".join(kept) for k in range(min(radius, n) + 1) for kept in combinations(key, n - k)}
+    if n > longest_deleted(radius) - radius:  # lengths that meet keys on both sides of the limit have signatures of both kinds
+        count = 2 * radius + 1
+        for size in range(max(count, n - radius), n + radius + 1):
+            for i in range(count):
+                start, end = size * i // count, size * (i + 1) // count
+                out.update(f"{size}|{i}|{key[at : at + end - start]}" for at in range(max(0, start - radius), min(n - end + start, start + radius) + 1))
+    return out
+
+
+def _parted(items: DataFrame, radius: int, cell: int) -> DataFrame:
+    """items with cell replaced by a hash, and those of large cells repeated once for each signature of their key."""
+    large = materialize(items.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cell).select("cell", F.lit(True).alias("_large")), "large")
+    if not large.limit(1).count():
+        return items.withColumn("cell", F.xxhash64("cell"))
+    names, schema = items.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, d = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            # one plain edit is one edit of either kind
-            exact = [z if z < 2 else distance(x, y, radius) for x, y, z in zip(a, b, d, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(exact, pa.int32())], ["block", "a", "b", "d"])
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                signs = [sorted(signatures(k, radius)) for k in part.column(names.index("key")).to_pylist()]
+                rows = part.take(pa.array([i for i, s in enumerate(signs) for _ in s], pa.int32()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([x for s in signs for x in s], pa.string())], [*names, "_sign"])
 
-    return wide.mapInArrow(run, "block string, a string, b string, d int").where(F.col("d") <= radius)
+    marked = salted_join(items, large, "cell", F.col("node"), "left")
+    small = marked.where("_large is null").select(*names).withColumn("cell", F.xxhash64("cell"))
+    repeated = marked.where("_large").select(*names).mapInArrow(run, schema + ", _sign string")
+    return small.unionByName(repeated.withColumn("cell", F.xxhash64("cell", "_sign")).drop("_sign"))
 
 
-def near_words(words: DataFrame, radius: int) -> DataFrame:
-    """(a, b, d): all pairs a < b of distinct words with Damerau-Levenshtein distance d of at most radius. words: (key).
+def near_pairs(items: DataFrame, radius: int, fits: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None, cell: int = CELL) -> DataFrame:
+    """(a, b, d, a_*, b_*): all pairs of nodes a < b of one cell whose keys are within the radius, d being their distance.
 
-    Each edit, swaps as well, costs each side one letter at most: two words within radius share what is left of them after deleting up
-    to radius letters of each. Joining on these remainders loses nothing. Pairs with a long word come from the radius join.
+    items: (cell, node, key, ...), one row a cell and node; a column turns (array) holds other orders of a key's words, of which the nearest
+    counts. fits: a further condition on the two sides' columns. Other columns come out as a_name and b_name. Nulls are left out.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w in batch.column(0).to_pylist():
-                left = {"".join(kept) for k in range(min(radius, len(w)) + 1) for kept in combinations(w, len(w) - k)}
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(left), pa.string()), pa.array([w] * len(left), pa.string())], ["part", "a"])
+    items = items.where("cell is not null and key is not null and node is not null")
+    others = [c for c in items.columns if c not in ("cell", "node")]
+    turned = "turns" in others
+    split = _parted(items, radius, cell)
+    left = split.select("cell", F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in others])
+    right = split.select("cell", F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in others])
+    a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
+    # a swap is two plain edits, so twice the radius encloses all pairs
+    near = F.levenshtein(a("key"), b("key"), 2 * radius) >= 0
+    if turned:
+        near = near | ((F.size(b("turns")) > 0) & F.exists(b("turns"), lambda t: F.levenshtein(a("key"), t, 2 * radius) >= 0))
+    near = (F.abs(F.length(a("key")) - F.length(b("key"))) <= radius) & near
+    met = left.join(right, "cell").where((F.col("a") < F.col("b")) & (near if fits is None else fits(a, b) & near)).drop("cell")
+    met = met.dropDuplicates(["a", "b", "a_key", "b_key"])
+    at = {c: i for i, c in enumerate(met.columns)}
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema.fields)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = [distance(x, y, radius) for x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d, pa.int32())], ["a", "b", "d"])
-
-    distinct = words.where("key is not null").select("key").distinct()
-    parts = materialize(distinct.where(F.length("key") <= LONGEST_WORD).mapInArrow(run, "part string, a string"), "parts")
-    met = parts.join(parts.withColumnRenamed("a", "b"), "part").where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= radius)).select("a", "b").distinct()
-    short = met.mapInArrow(measure, "a string, b string, d int").where(F.col("d") <= radius)
-    long = damerau_pairs(distinct.where(F.length("key") > LONGEST_WORD - radius).select(F.lit("").alias("block"), "key"), radius)
-    return short.union(long.where(F.greatest(F.length("a"), F.length("b")) > LONGEST_WORD).select("a", "b", "d"))
+            x, y = (batch.column(at[c]).to_pylist() for c in ("a_key", "b_key"))
+            d = [distance(p, q, radius) for p, q in zip(x, y, strict=True)]
+            if turned:
+                d = [min([n, *(distance(p, t, radius) for t in ts)]) for n, p, ts in zip(d, x, batch.column(at["b_turns"]).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d, pa.int32())], [*batch.schema.names, "d"])
+
+    return met.mapInArrow(measure, schema + ", d int").where(F.col("d") <= radius)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millweir.llm.canonical import NONE, map_places
 from millweir.llm.copies import collapse, find_copies
 from millweir.llm.mixing import mix
-from millweir.llm.names import link_businesses, link_people
+from millweir.llm.names import business_members, pairs_of, person_members
 from millweir.llm.tokens import count_tokens, decode, encode
 from millweir.llm.truncation import find_truncated, shares
 from millweir.session import table
@@ -24,13 +24,22 @@ def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return collapse(reps, "rep_id", find_copies(reps, "rep_id", ["email", "phone"])).select("rep_id", "email", "phone", "n_copies")
 
 
+def _named(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return business_members(table(spark, d, "dealers"), "dealer_id", "name"), person_members(table(spark, d, "sales_reps"), "rep_id", "dealer_id", "full_name")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    dealers = link_businesses(table(spark, d, "dealers"), "dealer_id", "name")
-    reps = link_people(table(spark, d, "sales_reps"), "rep_id", "dealer_id", "full_name")
+    dealers, reps = (pairs_of(m) for m in _named(spark, d))
     named = lambda df, name: df.select(F.lit(name).alias("tbl_name"), "id_a", "id_b")
     return named(dealers, "dealers").unionByName(named(reps, "sales_reps"))
 
 
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    """One row a name in a class of several spellings, without the pairs."""
+    dealers, reps = (m.select(F.col("id").alias("row_id"), F.col("comp").alias("class_id")) for m in _named(spark, d))
+    return dealers.select(F.lit("dealers").alias("tbl_name"), "row_id", "class_id").unionByName(reps.select(F.lit("sales_reps").alias("tbl_name"), "row_id", "class_id"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return map_places(table(spark, d, "dealers"), "dealer_id", "city", "country", table(spark, d, "ref_countries"), table(spark, d, "ref_cities"))
 
@@ -75,7 +84,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(table(spark, d, "documents"), _truncated(spark, d), "doc_id", "source")
 
 
-QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p3_members": p3_members, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
 
 _P2 = """
   select rep_id, email, phone, least(a, b) as lo, greatest(a, b) as hi, a <> '' and b <> '' as whole from (
