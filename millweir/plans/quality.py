@@ -44,9 +44,6 @@ class Rule:
         self.name = self.name or f"{self.column or 'row'}: {self.rule.replace('_', ' ')}"
         self.id = self.id or self.name
 
-    def colour(self, rate: float) -> str:
-        return "green" if rate >= self.green else "amber" if rate >= self.amber else "red"
-
 
 def _membership(df: DataFrame, keys: DataFrame, column: str, made: Column, flag: str) -> DataFrame:
     """df with a flag whether its key is among the distinct keys; the planner picks the join."""
@@ -168,34 +165,43 @@ def results(df: DataFrame, rules: list[Rule], load: Callable[[str], DataFrame] |
     return one.select(F.inline(F.array(*rows)))
 
 
-def evaluate(df: DataFrame, rules: list[Rule], load: Callable[[str], DataFrame] | None = None, today: datetime.date | None = None, examples: int = 5) -> dict:
-    """Per rule, dimension and table: failures, pass rates, colours, the weighted score, and what happens to the rows."""
+def dimensions(found: DataFrame) -> DataFrame:
+    """(dimension, n_rules, pass_rate) of results: the mean of the rules that could be checked."""
+    return found.where("status <> 'error'").groupBy("dimension").agg(F.count(F.lit(1)).alias("n_rules"), F.round(F.avg("pass_rate"), 1).alias("pass_rate"))
+
+
+def scores(found: DataFrame) -> DataFrame:
+    """One row of results: the score (pass rates weighted by severity, null without a rule that could be checked), failures, and rules by colour."""
+    checked = F.col("status") != "error"
+    weight = F.when(checked, F.coalesce(K.lookup(F.col("severity"), SEVERITY), F.lit(SEVERITY["medium"])))
+    colours = [F.count(F.when(F.col("rag") == c, 1)).alias(c) for c in ("green", "amber", "red")]
+    return found.agg(F.round(F.try_divide(F.sum(F.col("pass_rate") * weight), F.sum(weight)), 1).alias("score"), F.coalesce(F.sum("failed"), F.lit(0)).alias("issues"), *colours)
+
+
+def broken_values(df: DataFrame, rules: list[Rule], load: Callable[[str], DataFrame] | None = None, today: datetime.date | None = None, examples: int = 5) -> DataFrame:
+    """(place, examples): up to so many values that break each rule of a column, the least of each hash bucket, from one pass."""
     wide, made = passes(df, rules, load, today)
-    one = measure(df, rules, load, today).first().asDict()
-    n, rows = one["records"], []
-    for i, (r, c, problem) in enumerate(made):
-        row = {"rule_id": r.id, "name": r.name, "column": r.column, "dimension": r.dimension, "severity": r.severity, "action": r.on_fail}
-        if c is None:
-            rows.append(row | {"status": "error", "rag": "red", "message": problem})
-            continue
-        failed = one[f"f{i}"]
-        rate = round((1 - failed / n) * 100, 2) if n else 100.0
-        shown = [x[0] for x in wide.where(~c).select(K.text(K.col(r.column))).limit(examples).collect()] if failed and r.column else []
-        rows.append(row | {"status": "failed" if failed else "passed", "failed": failed, "pass_rate": rate, "rag": r.colour(rate), "examples": shown})
-    scored = [x for x in rows if "pass_rate" in x]
-    dimensions: dict[str, list[float]] = {}
-    for x in scored:
-        dimensions.setdefault(x["dimension"], []).append(x["pass_rate"])
-    weights = [SEVERITY.get(x["severity"], 2) for x in scored]
+    marks = [F.struct(F.lit(i).alias("place"), F.when(~c, K.text(K.col(r.column))).alias("value")) for i, (r, c, _) in enumerate(made) if c is not None and r.column]
+    if not marks:
+        return df.sparkSession.createDataFrame([], "place int, examples array<string>")
+    values = wide.select(F.inline(F.array(*marks))).where("value is not null")
+    some = values.groupBy("place", F.pmod(F.xxhash64("value"), F.lit(examples)).alias("bucket")).agg(F.min("value").alias("value"))
+    return some.groupBy("place").agg(F.array_sort(F.collect_list("value")).alias("examples"))
+
+
+def evaluate(df: DataFrame, rules: list[Rule], load: Callable[[str], DataFrame] | None = None, today: datetime.date | None = None, examples: int = 5) -> dict:
+    """The report of a table: its results, dimensions, scores and broken values as a document. The driver gets a row a rule."""
+    found = results(df, rules, load, today)
+    rows = [r.asDict() for r in found.collect()]
+    ready = df.sparkSession.createDataFrame([tuple(r[c] for c, _ in RESULT_COLUMNS) for r in rows], ", ".join(f"`{c}` {t}" for c, t in RESULT_COLUMNS))
+    total, counts = scores(ready).first(), measure(df, rules, load, today).first()
+    shown = {r.place: r.examples for r in broken_values(df, rules, load, today, examples).collect()} if total.issues else {}
+    for place, row in enumerate(rows):
+        row["examples"] = shown.get(place, [])
+    handled = {what: counts[what] for what in ("quarantined", "dropped", "flagged")}
     return {
-        "rules": rows,
-        "dimensions": {d: round(sum(v) / len(v), 1) for d, v in dimensions.items()},
-        "score": round(sum(x["pass_rate"] * w for x, w in zip(scored, weights, strict=True)) / sum(weights), 1) if scored else None,
-        "records": n,
-        "failing_records": one["failing"],
-        "handling": {"quarantined": one["quarantined"], "dropped": one["dropped"], "flagged": one["flagged"], "loaded": n - one["kept_out"], "fail_rules_triggered": sum(1 for x in scored if x["action"] == "fail" and x["failed"])},
-        "rag": {k: sum(1 for x in rows if x["rag"] == k) for k in ("green", "amber", "red")},
-        "issues": sum(x.get("failed", 0) for x in rows),
+        "score": total.score, "issues": total.issues, "rag": {c: total[c] for c in ("green", "amber", "red")}, "dimensions": {r.dimension: r.pass_rate for r in dimensions(ready).collect()}, "rules": rows,
+        "records": counts.records, "failing_records": counts.failing, "handling": handled | {"loaded": counts.records - counts.kept_out, "fail_rules_triggered": sum(bool(r["failed"]) for r in rows if r["action"] == "fail")},
     }
 
 
