@@ -4,7 +4,8 @@ A logistic regression on hashed features is trained on texts of the corpus itsel
 words and within sentences, to give the positives. Its features are the closing characters and words, punctuation, the form of the
 last line, how common the last word is in the whole corpus, and the distance of the length to a limit of the source's channel.
 Limits are lengths, in characters or bytes, at the upper end of a channel's texts where far more texts end than just below.
-The model is fitted on a bounded sample (TRAIN_ROWS); word counts, limits and scores cover all texts.
+The model is fitted on a bounded sample (TRAIN_ROWS), whose texts are cut and turned into features by the executors; word counts, limits
+and scores cover all texts.
 """
 
 from __future__ import annotations
@@ -20,13 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bound of the labelled sample, width of the hashed features, width of the hashed word counts, passes of the training.
-TRAIN_ROWS, WIDTH, WORD_BUCKETS, PASSES = 30_000, 1 << 16, 1 << 20, 6
-THRESHOLD, DOUBT = 0.5, 0.25
+from millweir.session import materialize
+
+#: Bound of the labelled sample in texts and of each of them in characters, width of the hashed features, width of the hashed word counts
+#: (words that share a bucket share its counts: give it some times the number of different words), passes and batches of the training.
+TRAIN_ROWS, TRAIN_CHARS, WIDTH, WORD_BUCKETS, PASSES, BATCH = 30_000, 4_000, 1 << 16, 1 << 20, 6, 64
+THRESHOLD, DOUBT = 0.5, 0.15
 
 _WORD = re.compile(r"\w+", re.UNICODE)
-#: Up to and with a final mark; a point within a number ends nothing.
-_SENTENCE = re.compile(r"(?:[^.!?。！？‥؟।]|[.](?=\w))+[.!?。！？‥؟।]?")
+#: Where a sentence or a line ends; a point within a number ends nothing.
+_SENTENCE = re.compile("([!?。！？‥؟।]|[.](?!\\w)|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])")
 #: Marks that end a sentence, marks that may follow them, and marks that show a cut.
 FINAL, CLOSING, CUT_MARKS = ".!?。！？‥؟।", "\"'”’»)]}>*_`“」』）】🙂😀👍", ("...", "…", "[...]", "(...)", "�", "[truncated]", "--more--", "[cut]", "...]")
 _BULLET = re.compile(r"^\s*(?:[-*•‣·–+]|\d{1,2}[.)])\s+")
@@ -40,16 +44,17 @@ def word_bucket(word: str) -> int:
 
 @dataclass
 class Context:
-    """What the whole corpus says: by bucket, how common a word or pair of words is (in logs) and how often a final mark follows it
-    (in eighths, 255 where it is too rare to tell), and limits by channel."""
+    """What the whole corpus says: by bucket, how common a word or pair of words is (in logs), how often a final mark follows it
+    (in eighths, 255 where it is too rare to tell) and how many texts end with the word and no final mark, and limits by channel."""
 
     words: np.ndarray = field(default_factory=lambda: np.zeros(WORD_BUCKETS, np.uint8))
     ends: np.ndarray = field(default_factory=lambda: np.full(WORD_BUCKETS, 255, np.uint8))
+    lasts: np.ndarray = field(default_factory=lambda: np.zeros(WORD_BUCKETS, np.int32))
     limits: dict[tuple[str, str], set[int]] = field(default_factory=dict)
 
 
-def features(text: str, group: str, context: Context) -> list[int]:
-    """Indices of the hashed features that a text has."""
+def features(text: str, group: str, context: Context, own: int = 1) -> list[int]:
+    """Indices of the hashed features that a text has. own: how often the text itself is counted in context.lasts."""
     out: list[str] = []
     body = text.rstrip()
     trailing = len(text) - len(body)
@@ -66,6 +71,8 @@ def features(text: str, group: str, context: Context) -> list[int]:
     pair = " ".join(words[-2:]).lower()
     count = int(context.words[word_bucket(word)]) if word else 0
     ends = f"{context.ends[word_bucket(word)] if word else 'none'}|{context.ends[word_bucket(pair)] if len(words) > 1 else 'none'}"
+    # whole words that end texts come back, such as names of writers; words cut short hardly do
+    others = int(max(0, context.lasts[word_bucket(word)] - own)).bit_length() if word and not final else 0
     bullet = bool(_BULLET.match(line))
     in_field = bool(_FIELD.match(line)) and len(words) <= 8
     short = len(words) <= 4
@@ -87,10 +94,10 @@ def features(text: str, group: str, context: Context) -> list[int]:
     if not final:
         out += [
             f"ends={ends}", f"ends={ends}|{kind}", f"endpair={context.ends[word_bucket(pair)] if len(words) > 1 else 'none'}|{kind}|{min(len(words), 5)}",
-            f"known={min(count, 12)}|{shape}|{kind}", f"word={word.lower()}", f"word={word.lower()}|{kind}", f"pair={pair}", f"line={' '.join(words).lower()[:80]}|{kind}", f"tail={core[-3:].lower()}|{kind}", f"tail4={core[-4:].lower()}",
+            f"known={min(count, 12)}|{shape}|{kind}", f"word={word.lower()}", f"word={word.lower()}|{kind}", f"pair={pair}", f"line={' '.join(words).lower()}|{kind}", f"tail={core[-3:].lower()}|{kind}", f"tail4={core[-4:].lower()}",
             f"caps={''.join('A' if w[:1].isupper() else 'a' if w[:1].isalpha() else '9' for w in words[-3:])}|{kind}|{min(len(words), 5)}", f"before={before[-1:] if before[-1:] in FINAL + ',:;-' else 'other'}|{kind}|{bool(_BULLET.match(before))}",
-            f"greeting={' '.join(_WORD.findall(before)).lower()[:30]}|{kind}|{len(words)}", f"first={' '.join(words[:1]).lower()}|{kind}", f"field={line.split(':')[0][:30].lower() if in_field else ''}|{shape}", f"label={line.split(':')[0][:30].lower() if in_field else ''}|{min(count, 8)}|{len(words)}",
-            f"markup={bool(_MARKUP.search(core))}",
+            f"greeting={' '.join(_WORD.findall(before)).lower()}|{kind}|{len(words)}", f"first={' '.join(words[:1]).lower()}|{kind}", f"field={line.split(':')[0].lower() if in_field else ''}|{shape}", f"label={line.split(':')[0].lower() if in_field else ''}|{min(count, 8)}|{len(words)}",
+            f"markup={bool(_MARKUP.search(core))}", f"others={min(others, 6)}|{kind}|{min(len(words), 3)}", f"others={min(others, 6)}|{min(count, 12)}|{ends}",
         ]
     else:
         digits = bool(re.search(r"\d[.]$", core))
@@ -99,69 +106,77 @@ def features(text: str, group: str, context: Context) -> list[int]:
 
 
 def _limits(df: DataFrame, text: str, group: str) -> dict[tuple[str, str], set[int]]:
-    """Lengths at which a channel cuts: near its greatest length, with many more texts than the lengths just below.
+    """Lengths at which a channel cuts: many more texts than at the lengths around, and not many more that are longer.
 
     Lengths are counted over all texts; a channel's limits are few, because each must hold a share of the channel.
     """
-    lengths = df.where(F.col(text).isNotNull()).select(F.col(group).alias("g"), F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length(text).alias("n")), F.struct(F.lit("bytes").alias("unit"), F.octet_length(text).alias("n")))).alias("x"))
-    counts = lengths.select("g", "x.unit", "x.n").groupBy("g", "unit", "n").agg(F.count(F.lit(1)).alias("c"))
-    total = counts.groupBy("g", "unit").agg(F.sum("c").alias("all"), F.max("n").alias("most"))
+    lengths = df.where(F.length(text) > 0).select(F.col(group).alias("g"), F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length(text).alias("n")), F.struct(F.lit("bytes").alias("unit"), F.octet_length(text).alias("n")))).alias("x"))
+    counts = materialize(lengths.select("g", "x.unit", "x.n").groupBy("g", "unit", "n").agg(F.count(F.lit(1)).alias("c")), "lengths")
+    total = counts.groupBy("g", "unit").agg(F.sum("c").alias("all"))
     around = counts.select("g", "unit", F.explode(F.sequence(F.col("n") - 15, F.col("n") + 15)).alias("n"), "c").groupBy("g", "unit", "n").agg(F.sum("c").alias("near"))
-    peaks = counts.join(around, ["g", "unit", "n"]).join(total, ["g", "unit"]).where((F.col("c") >= 5) & (F.col("c") * 200 >= F.col("all")) & (F.col("n") > 100) & (F.col("c") * 3 > F.col("near") - F.col("c")))
+    peaks = counts.join(around, ["g", "unit", "n"]).join(total, ["g", "unit"]).where((F.col("c") >= 5) & (F.col("c") * 200 >= F.col("all")) & (F.col("c") * 3 > F.col("near") - F.col("c"))).select("g", "unit", "n", "c")
+    longer = peaks.join(counts.select("g", "unit", F.col("n").alias("other"), F.col("c").alias("m")), ["g", "unit"]).groupBy("g", "unit", "n", "c").agg(F.sum(F.when(F.col("other") > F.col("n"), F.col("m")).otherwise(0)).alias("above"))
     found: dict[tuple[str, str], set[int]] = {}
-    for r in peaks.collect():
+    for r in longer.where(F.col("above") <= 2 * F.col("c")).collect():
         found.setdefault((r.g, r.unit), set()).add(r.n)
     return found
 
 
-def count_words(texts: Iterator[str]) -> tuple[np.ndarray, np.ndarray]:
-    """By bucket: how often its words and pairs of words occur but at a text's end, and how often before a final mark."""
-    counts, finals = np.zeros(WORD_BUCKETS, np.int64), np.zeros(WORD_BUCKETS, np.int64)
-    seen: Counter[str] = Counter()
-    ended: Counter[str] = Counter()
+def count_words(texts: Iterator[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By bucket: how often its words and pairs of words occur but at a text's end, how often before a final mark, and how many texts end
+    with the word and no final mark."""
+    counts, finals, lasts = (np.zeros(WORD_BUCKETS, np.int64) for _ in range(3))
+    seen: Counter[str | tuple[str, str]] = Counter()
+    ended: Counter[str | tuple[str, str]] = Counter()
+    closing: Counter[str] = Counter()
 
     def flush() -> None:
-        for known, into in ((seen, counts), (ended, finals)):
+        for known, into in ((seen, counts), (ended, finals), (closing, lasts)):
             for word, n in known.items():
-                into[word_bucket(word)] += n
+                into[word_bucket(word if isinstance(word, str) else " ".join(word))] += n
             known.clear()
 
     for value in texts:
-        for line in value.splitlines():
-            for sentence in _SENTENCE.findall(line):
-                words = _WORD.findall(sentence)
-                if words:
-                    pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
-                    if sentence[-1] in FINAL:
-                        ended.update((words[-1], *pairs[-1:]))
-                        seen.update((words[-1], *pairs[-1:]))
-                    seen.update(words[:-1])
-                    seen.update(pairs[:-1])
+        parts = _SENTENCE.split(value)
+        for sentence, end in zip(parts[::2], [*parts[1::2], ""], strict=True):
+            words = _WORD.findall(sentence)
+            if words:
+                pairs = list(zip(words, words[1:], strict=False))
+                if end and end in FINAL:
+                    ended.update((words[-1], *pairs[-1:]))
+                else:
+                    words, pairs = words[:-1], pairs[:-1]
+                seen.update(words)
+                seen.update(pairs)
+        if parts[-1].strip() and (words := _WORD.findall(parts[-1])):
+            closing[words[-1]] += 1
         if len(seen) > 200_000:
             flush()
     flush()
-    return counts, finals
+    return counts, finals, lasts
 
 
-def word_statistics(counts: np.ndarray, finals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_statistics(counts: np.ndarray, finals: np.ndarray, lasts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     logs = np.minimum(np.log2(counts + 1.0), 254).astype(np.uint8)
     ends = np.where(counts >= 3, np.minimum(8 * finals / np.maximum(counts, 1) + (finals > 0), 9), 255).astype(np.uint8)
-    return logs, ends
+    return logs, ends, np.minimum(lasts, 1 << 30).astype(np.int32)
 
 
-def _word_counts(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+def _word_counts(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """count_words of all texts; what comes back to the driver is bounded by WORD_BUCKETS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, finals = count_words(value for batch in batches for value in batch.column(0).to_pylist())
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used]), pa.array(finals[used])], ["bucket", "n", "f"])
+        found = count_words(value for batch in batches for value in batch.column(0).to_pylist())
+        used = np.flatnonzero(found[0] + found[2])
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(c[used]) for c in found)], ["bucket", "n", "f", "l"])
 
-    rows = df.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "bucket int, n long, f long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("f").alias("f")).toPandas()
-    counts, finals = np.zeros(WORD_BUCKETS, np.int64), np.zeros(WORD_BUCKETS, np.int64)
-    counts[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    finals[rows["bucket"].to_numpy()] = rows["f"].to_numpy()
-    return word_statistics(counts, finals)
+    counted = df.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "bucket int, n long, f long, l long")
+    rows = counted.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in "nfl"]).toArrow()
+    arrays = []
+    for c in "nfl":
+        arrays.append(np.zeros(WORD_BUCKETS, np.int64))
+        arrays[-1][rows.column("bucket").to_numpy()] = rows.column(c).to_numpy()
+    return word_statistics(*arrays)
 
 
 def _cut(text: str, rng: np.random.Generator) -> str:
@@ -172,8 +187,10 @@ def _cut(text: str, rng: np.random.Generator) -> str:
         part = text[:at]
         rest = text[at:].lstrip()
         stripped = part.rstrip()
-        # not at the end of a sentence or line: that would leave whole sentences
-        if stripped and rest and stripped.rstrip(CLOSING)[-1:] not in FINAL and "\n" not in text[len(stripped) : at + 1] and "\r" not in text[len(stripped) : at + 1]:
+        # not at the end of a sentence or line: that would leave whole sentences; in a signature or item only within a word
+        line = re.split(r"[\r\n]", rest, maxsplit=1)[0].rstrip().rstrip(CLOSING)
+        inside = text[at - 1].isalnum() and text[at].isalnum()
+        if stripped and rest and (inside or line[-1:] in FINAL) and stripped.rstrip(CLOSING)[-1:] not in FINAL and "\n" not in text[len(stripped) : at + 1] and "\r" not in text[len(stripped) : at + 1]:
             draw = rng.random()
             return part + ("" if draw < 0.75 else "..." if draw < 0.83 else "…" if draw < 0.91 else "�")
     return text[: max(1, len(text) // 2)]
@@ -190,31 +207,45 @@ def _cut_at(text: str, unit: str, limit: int, rng: np.random.Generator) -> str:
     return "" if stripped[-1:] in FINAL or text[len(stripped) :][:1] in "\r\n" else part
 
 
+def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of indices, none empty, end to end, and where each begins."""
+    starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]]).astype(np.int64)
+    return np.fromiter((i for r in rows for i in r), np.int64, sum(map(len, rows))), starts
+
+
 @dataclass
 class Model:
     weights: np.ndarray
     bias: float
 
-    def score(self, indices: list[int]) -> float:
-        return float(1 / (1 + np.exp(-(self.weights[indices].sum() + self.bias))))
+    def score(self, rows: list[list[int]]) -> np.ndarray:
+        if not rows:
+            return np.zeros(0)
+        flat, starts = _flat(rows)
+        return 1 / (1 + np.exp(-(np.add.reduceat(self.weights[flat], starts) + self.bias)))
 
 
 def fit(rows: list[list[int]], labels: list[int], seed: int = 7) -> Model:
-    """Logistic regression by adaptive gradient steps over the rows in a seeded order."""
+    """Logistic regression by adaptive gradient steps over batches of rows in a seeded order."""
     rng = np.random.default_rng(seed)
     weights, squares, bias, bias_square = np.zeros(WIDTH), np.full(WIDTH, 1e-3), 0.0, 1e-3
-    order = np.arange(len(rows))
-    arrays = [np.array(r, np.int32) for r in rows]
+    flat, starts = _flat(rows)
+    ends, truth = np.append(starts[1:], len(flat)), np.array(labels, np.float64)
     for _ in range(PASSES):
-        rng.shuffle(order)
-        for i in order:
-            at = arrays[i]
-            gap = 1 / (1 + np.exp(-(weights[at].sum() + bias))) - labels[i]
-            step = gap + 1e-5 * weights[at]
-            squares[at] += step * step
-            weights[at] -= 0.15 * step / np.sqrt(squares[at])
-            bias_square += gap * gap
-            bias -= 0.15 * gap / np.sqrt(bias_square)
+        order = rng.permutation(len(rows))
+        for at in range(0, len(order), BATCH):
+            chosen = order[at : at + BATCH]
+            sizes = ends[chosen] - starts[chosen]
+            begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            # the batch's indices: each row's run, shifted to where it lies in flat
+            indices = flat[np.arange(sizes.sum()) + np.repeat(starts[chosen] - begins, sizes)]
+            gap = 1 / (1 + np.exp(-(np.add.reduceat(weights[indices], begins) + bias))) - truth[chosen]
+            used, place = np.unique(indices, return_inverse=True)
+            step = np.bincount(place, np.repeat(gap, sizes)) + 1e-5 * weights[used]
+            squares[used] += step * step
+            weights[used] -= 0.15 * step / np.sqrt(squares[used])
+            bias_square += gap.sum() ** 2
+            bias -= 0.15 * gap.sum() / np.sqrt(bias_square)
     return Model(weights, bias)
 
 
@@ -230,61 +261,77 @@ def _looks_cut(text: str, group: str, context: Context) -> bool:
     return closed[-1:] not in FINAL and len(line) > 60 and not _FIELD.match(line)
 
 
-def train(sample: list[tuple[str, str]], context: Context, seed: int = 7) -> Model:
-    """From (text, channel) pairs of which most are intact; the seeming cuts among them are no negatives."""
-    rng = np.random.default_rng(seed)
-    rows, labels = [], []
-    known = sorted((g, unit, n) for (g, unit), ns in context.limits.items() for n in ns)
-    for text, group in sample:
-        if not text.strip() or _looks_cut(text, group, context):
-            continue
-        rows.append(features(text, group, context))
-        labels.append(0)
-        if text.rstrip()[-1] in FINAL and rng.random() < 0.15:
-            # some writers end whole sentences with dots
-            rows.append(features(text.rstrip()[:-1] + ("..." if rng.random() < 0.7 else "…"), group, context))
-            labels.append(0)
-        if len(text) >= 30:
-            cut = _cut(text, rng)
-            rows.append(features(cut, group, context))
-            labels.append(1)
-        if known:
-            where, unit, limit = known[int(rng.integers(0, len(known)))]
-            long = text if len(text) > limit else text + " " + sample[int(rng.integers(0, len(sample)))][0]
-            if len(long) > limit and (cut := _cut_at(long, unit, limit, rng)):
-                rows.append(features(cut, where, context))
-                labels.append(1)
+def examples(text: str, group: str, context: Context, known: list[tuple[str, str, int]]) -> Iterator[tuple[int, list[int]]]:
+    """(label, features) of an intact text of the sample and of cuts of it, drawn by the text itself; seeming cuts give none."""
+    if not text.strip() or _looks_cut(text, group, context):
+        return
+    rng = np.random.default_rng(crc32(text.encode()))
+    yield 0, features(text, group, context)
+    if text.rstrip()[-1] in FINAL and rng.random() < 0.15:
+        # some writers end whole sentences with dots
+        yield 0, features(text.rstrip()[:-1] + ("..." if rng.random() < 0.7 else "…"), group, context, 0)
+    if len(text) >= 30:
+        yield 1, features(_cut(text, rng), group, context, 0)
+    if known:
+        where, unit, limit = known[int(rng.integers(0, len(known)))]
+        long = text
+        while len(long) <= limit:
+            long += " " + text
+        if cut := _cut_at(long, unit, limit, rng):
+            yield 1, features(cut, where, context, 0)
+
+
+def train(rows: list[list[int]], labels: list[int], seed: int = 7) -> Model:
+    """From features and labels of which some are wrong: texts of the sample may have been cut themselves."""
     if not rows:
         return Model(np.zeros(WIDTH), -20.0)
-    # some of the sample were cut themselves, and the first model half sees it: they are left out of the second
-    first = fit(rows, labels, seed)
-    kept = [i for i, r in enumerate(rows) if labels[i] or first.score(r) < DOUBT]
+    # the first model half sees which of the sample were cut: they are left out of the second
+    doubts = fit(rows, labels, seed).score(rows)
+    kept = [i for i, d in enumerate(doubts) if labels[i] or d < DOUBT]
     return fit([rows[i] for i in kept], [labels[i] for i in kept], seed)
 
 
+def _grouped(df: DataFrame, row_id: str, text: str, group: list[str]) -> DataFrame:
+    return df.select(F.col(f"`{row_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.concat_ws("/", *[F.coalesce(F.col(f"`{g}`"), F.lit("?")) for g in group]).alias("grp"))
+
+
 def learn(df: DataFrame, row_id: str, text: str, group: list[str]) -> tuple[Model, Context]:
     """Limits and word counts over all rows, and a model fitted on TRAIN_ROWS texts, those least by a hash of their id."""
-    rows = df.select(F.col(f"`{row_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.concat_ws("/", *[F.coalesce(F.col(f"`{g}`"), F.lit("?")) for g in group]).alias("grp"))
+    rows = _grouped(df, row_id, text, group)
     context = Context(*_word_counts(rows, "text"), _limits(rows, "text", "grp"))
+    known = sorted((g, unit, n) for (g, unit), ns in context.limits.items() for n in ns)
+    shared = df.sparkSession.sparkContext.broadcast((context, known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        its, limits = shared.value
+        for batch in batches:
+            made = [x for t, g in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in examples(t, g, its, limits)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made], pa.int32()), pa.array([x for _, x in made], pa.list_(pa.int32()))], ["label", "at"])
+
     # only texts of a bounded length are in the sample, so that it stays bounded in bytes too
-    sample = rows.where(F.length("text").between(1, 4_000)).orderBy(F.xxhash64(F.lit(7), "id", "text"), "id").limit(TRAIN_ROWS).select("text", "grp").collect()
-    return train([(r.text, r.grp) for r in sample], context), context
+    sample = rows.where(F.length("text").between(1, TRAIN_CHARS)).orderBy(F.xxhash64(F.lit(7), "id", "text"), "id").limit(TRAIN_ROWS).select("text", "grp")
+    made = sample.repartition("text").mapInArrow(run, "label int, at array<int>").toArrow()
+    # in an order of their own, whatever the partitions were
+    found = sorted(zip(made.column(1).to_pylist(), made.column(0).to_pylist(), strict=True))
+    return train([x for x, _ in found], [x for _, x in found]), context
 
 
 def score(df: DataFrame, row_id: str, text: str, group: list[str], model: Model, context: Context) -> DataFrame:
     """(row_id, score) of every row: the probability that its text was cut. Null, empty and blank texts have the score 0."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((model, context))
+    shared = df.sparkSession.sparkContext.broadcast((model, context))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, known = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                scores = [fitted.score(features(t, g, known)) if t and t.strip() else 0.0 for t, g in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], ["id", "score"])
+                texts, groups = part.column(1).to_pylist(), part.column(2).to_pylist()
+                filled = [i for i, t in enumerate(texts) if t and t.strip()]
+                scores = np.zeros(part.num_rows)
+                scores[filled] = fitted.score([features(texts[i], groups[i], known) for i in filled])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], ["id", "score"])
 
-    rows = df.select(F.col(f"`{row_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.concat_ws("/", *[F.coalesce(F.col(f"`{g}`"), F.lit("?")) for g in group]).alias("grp"))
+    rows = _grouped(df, row_id, text, group)
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", row_id)
 
 
