@@ -17,6 +17,8 @@ EMAIL = r"^[A-Za-z0-9._%+'-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
 URL = r"^https?://[^\s]+$"
 SSN = r"^\d{3}-\d{2}-\d{4}$"
 IBAN = r"^[A-Z]{2}\d{2}[A-Z0-9]{10,30}$"
+CARD = r"^(?:\d[ -]?){13,19}$"
+POSTAL = r"^(\d{5}(-\d{4})?|[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}|[A-Z]\d[A-Z] ?\d[A-Z]\d)$"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 # Words for true and false.
@@ -124,6 +126,13 @@ def date(c: Column, formats: list[str] | None = None, day_first: bool = False) -
     return F.coalesce(*tries, *(F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(f)).cast("date")) for shape, f in TIMES))
 
 
+def date_format(c: Column) -> Column:
+    """The format in which a value is written, null if it's no date."""
+    s = strip(c)
+    dates = [F.when(s.rlike(shape) & F.try_to_date(s, f).isNotNull(), F.lit(f)) for shape, f in DATES]
+    return F.coalesce(*dates, *(F.when(s.rlike(shape) & F.try_to_timestamp(s, F.lit(f)).isNotNull(), F.lit(f.split("[")[0])) for shape, f in TIMES))
+
+
 def timestamp(c: Column) -> Column:
     s = strip(c)
     zoned = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[+-]\d{2}:?\d{2}$"), F.try_to_timestamp(F.left(s, F.lit(19)), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
@@ -166,7 +175,7 @@ def phone(c: Column, default: str = "US", country_code: Column | None = None) ->
     raw = strip(c)
     all_digits = F.regexp_replace(raw, r"\D", "")
     abroad = raw.startswith("+") | raw.startswith("00")
-    digits = F.when(raw.startswith("00"), F.substring(all_digits, 3, 1000)).otherwise(all_digits)
+    digits = F.when(raw.startswith("00"), all_digits.substr(F.lit(3), F.length(all_digits))).otherwise(all_digits)
     dials = {row[1]: row[4] for row in COUNTRIES}
     own = dials.get(default.upper(), "1")
     dial = F.coalesce(lookup(F.upper(country_code), dials), F.lit(own)) if country_code is not None else F.lit(own)
@@ -177,9 +186,8 @@ def phone(c: Column, default: str = "US", country_code: Column | None = None) ->
 
 
 def shape(c: Column) -> Column:
-    """The first 40 characters with digits as 9 and letters as A or a."""
-    s = F.left(text(c), F.lit(40))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"\p{Nd}", "9"), r"[\p{L}&&[^\p{Lu}]]", "a"), r"\p{Lu}", "A")
+    """The value with digits as 9 and letters as A or a."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text(c), r"\p{Nd}", "9"), r"[\p{L}&&[^\p{Lu}]]", "a"), r"\p{Lu}", "A")
 
 
 #: Accented letters with what remains of them in ASCII, as a rule over Unicode's decompositions of the Latin blocks.
@@ -203,7 +211,7 @@ def name_key(c: Column) -> Column:
 def title(c: Column) -> Column:
     """Words and parts after a hyphen or apostrophe start with a capital."""
     parts = F.split(F.lower(squeeze(strip(c))), r"(?<=[\s\-'’])")
-    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 100_000))), "")
+    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), w.substr(F.lit(2), F.length(w)))), "")
 
 
 def any_of(columns: list[Column]) -> Column:

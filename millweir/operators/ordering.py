@@ -89,3 +89,24 @@ def exact_quantiles(df: DataFrame, value: Column, at: dict[str, float]) -> DataF
         part = F.max(place - F.floor(place))
         made.append((low + part * (high - low)).alias(name))
     return rows.agg(*made)
+
+
+def group_quantiles(counts: DataFrame, group: list[str], at: dict[str, float]) -> DataFrame:
+    """(group, quantiles): exact_quantiles of each group at once, from counts (group, v, n) with one row a group and value.
+
+    Ranks come from running counts by range partition, so neither a task nor the driver gets all values of a group. NaN is left out;
+    null is a group as well. Groups without values give no row.
+    """
+    keyed = counts.where("v is not null and not isnan(v)").select(F.struct(*map(K.col, group)).alias("_g"), "v", "n")
+    slices = _slices(keyed, [F.col("_g").asc(), F.col("v").asc()])
+    sums = slices.groupBy("_slice", "_g").agg(F.sum("n").alias("_sum"))
+    in_group = Window.partitionBy("_g").orderBy("_slice")
+    before = sums.select("_slice", "_g", (F.sum("_sum").over(in_group) - F.col("_sum")).alias("_before"), F.sum("_sum").over(Window.partitionBy("_g")).alias("_total"))
+    within = F.sum("n").over(Window.partitionBy("_slice", "_g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = slices.withColumn("_upto", within).join(before, ["_slice", "_g"]).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    parts = []
+    for i, q in enumerate(at.values()):
+        place = F.lit(q) * (F.col("_total") - 1)
+        parts += [F.min(F.when(F.col("_upto") > edge(place), F.col("v"))).alias(f"{name}{i}") for name, edge in (("low", F.floor), ("high", F.ceil))] + [F.max(place - F.floor(place)).alias(f"part{i}")]
+    found = ranked.groupBy("_g").agg(*parts)
+    return found.select(*[F.col("_g").getField(g).alias(g) for g in group], *[(F.col(f"low{i}") + F.col(f"part{i}") * (F.col(f"high{i}") - F.col(f"low{i}"))).alias(name) for i, name in enumerate(at)])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millweir.plans import lakehouse, monitor, profiling
 from millweir.plans.pipeline import Pipeline, changes
-from millweir.plans.quality import Rule, results, split, stamp
+from millweir.plans.quality import Rule, dimensions, results, scores, split, stamp
 from millweir.queries.base import TODAY, view, with_views
 from millweir.queries.transforms import BLANK, DATE, EMAIL, GOOD, NUM, TRIM, country
 from millweir.sources.writers import merged
@@ -30,7 +30,7 @@ def add(name: str, sql: str | None = None):  # noqa: ANN201
 
 
 RULES = [
-    Rule("not_null", "name", severity="high", on_fail="quarantine", id="name"), Rule("unique", "code", id="code"), Rule("email", "email", on_fail="drop", id="email"), Rule("phone", "phone", id="phone"), Rule("date", "joined", id="joined"), Rule("range", "amount", {"min": 0, "max": 5000}, on_fail="quarantine", id="amount"),
+    Rule("not_null", "name", severity="high", on_fail="quarantine", dimension="completeness", id="name"), Rule("unique", "code", dimension="uniqueness", id="code"), Rule("email", "email", on_fail="drop", id="email"), Rule("phone", "phone", id="phone"), Rule("date", "joined", id="joined"), Rule("range", "amount", {"min": 0, "max": 5000}, on_fail="quarantine", id="amount"),
     Rule("in_set", "segment", {"values": ["building", "Machinery", "automobile"]}, id="segment"), Rule("in_reference", "country", id="country"), Rule("in_dataset", "nation", {"dataset_id": "nat", "column": "nkey"}, id="nation"), Rule("regex", "code", {"pattern": "^[b ]"}, id="regex"), Rule("min_length", "flag", {"length": 2}, id="flag"),
     Rule("expression", None, {"sql": "bal > 0 or year(to_date(joined)) >= 2010"}, severity="critical", id="expr"), Rule("range", "joined", {"min": "2001-01-01", "max": "today"}, id="recent"),
 ]
@@ -42,6 +42,7 @@ _GOOD = {
 }
 _MARKS = "select id, " + ", ".join(f"({g}) as r_{n}" for n, g in _GOOD.items()) + " from cust"
 _ACTIONS = {r.id: r.on_fail for r in RULES}
+_SEVERITY = {r.id: r.severity for r in RULES}
 
 
 def _load(spark: SparkSession, d: str):  # noqa: ANN202
@@ -53,6 +54,19 @@ def dq_results(spark: SparkSession, d: str) -> DataFrame:
     return results(view(spark, d, "cust"), RULES, _load(spark, d), TODAY).select("rule_id", "failed", "pass_rate")
 
 
+_RATES = "with m as (" + _MARKS + "), r as (" + " union all ".join(f"select '{n}' as rule_id, {dict(critical=4, high=3, medium=2, low=1)[_SEVERITY[n]]} as w, count(*) filter (where not r_{n}) as failed, round((1 - count(*) filter (where not r_{n}) / cast(count(*) as double)) * 100, 2) as pass_rate from m" for n in _GOOD) + ") "
+
+
+@add("dq_scores", _RATES + "select round(sum(pass_rate * w) / sum(w), 1) as score, cast(sum(failed) as bigint) as issues, count(*) filter (where pass_rate >= 99) as green, count(*) filter (where pass_rate >= 95 and pass_rate < 99) as amber, count(*) filter (where pass_rate < 95) as red from r")
+def dq_scores(spark: SparkSession, d: str) -> DataFrame:
+    return scores(results(view(spark, d, "cust"), RULES, _load(spark, d), TODAY))
+
+
+@add("dq_dimensions", _RATES + "select case when rule_id = 'name' then 'completeness' when rule_id = 'code' then 'uniqueness' else 'validity' end as dimension, count(*) as n_rules, round(avg(pass_rate), 1) as pass_rate from r group by 1")
+def dq_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    return dimensions(results(view(spark, d, "cust"), RULES, _load(spark, d), TODAY))
+
+
 _ISSUES = " + ".join(f"case when r_{n} then 0 else 1 end" for n in _GOOD)
 _STRICT = "case when not r_email then 'drop' when not r_name or not r_amount then 'quarantine' when " + " or ".join(f"not r_{n}" for n in _GOOD if _ACTIONS[n] == "flag") + " then 'flag' end"
 
@@ -72,7 +86,8 @@ def dq_quarantined(spark: SparkSession, d: str) -> DataFrame:
     return split(stamp(view(spark, d, "cust"), RULES, _load(spark, d), TODAY))[1].select("id")
 
 
-_PROFILED = ["name", "email", "amount", "joined", "country", "bal", "sparse"]
+_PROFILED = ["id", "name", "email", "phone", "country", "amount", "joined", "flag", "code", "cur", "segment", "nation", "bal", "sparse"]
+_NUMBERS = ("id", "nation", "bal", "sparse")
 
 
 def _profile_sql() -> str:
@@ -84,13 +99,32 @@ def _profile_sql() -> str:
           round(count({v}) / nullif(cast(count({shown}) as double), 0), 4) as numeric_ratio, min({v}) as "min", max({v}) as "max", round(avg({v}), 3) as "mean", median({v}) as "median", round(stddev_samp({v}), 3) as "std",
           quantile_cont({v}, 0.25) as p25, quantile_cont({v}, 0.75) as p75, count(*) filter (where {v} < 0) as negatives from cust"""
 
-    return " union all ".join(one(c, c not in ("bal", "sparse")) for c in _PROFILED)
+    return " union all ".join(one(c, c not in _NUMBERS) for c in _PROFILED)
 
 
 @add("profile_columns", _profile_sql())
 def profile_columns(spark: SparkSession, d: str) -> DataFrame:
     m = profiling.measures(view(spark, d, "cust").select(*_PROFILED))
-    return m.select("column", F.col("rows").alias("n_rows"), "null_count", "distinct_count", F.when(~F.col("column").isin("bal", "sparse"), F.col("max_length")).alias("max_length"), F.round("numeric_ratio", 4).alias("numeric_ratio"), "min", "max", F.round("mean", 3).alias("mean"), "median", F.round("std", 3).alias("std"), "p25", "p75", "negatives")
+    return m.select("column", F.col("rows").alias("n_rows"), "null_count", "distinct_count", F.when(~F.col("column").isin(*_NUMBERS), F.col("max_length")).alias("max_length"), F.round("numeric_ratio", 4).alias("numeric_ratio"), "min", "max", F.round("mean", 3).alias("mean"), "median", F.round("std", 3).alias("std"), "p25", "p75", "negatives")
+
+
+@add("profile_years", f"with y as (select year({DATE('joined')}) as y from cust) select 'joined' as \"column\", cast(y as integer) as \"year\", count(*) as n from y where y is not null group by 2")
+def profile_years(spark: SparkSession, d: str) -> DataFrame:
+    return profiling.date_years(view(spark, d, "cust").select("joined"))
+
+
+@add("profile_date_formats", """with f as (select case when regexp_matches(joined, '^[0-9]{4}-') then 'yyyy-M-d' when regexp_matches(joined, '/') then 'M/d/yyyy' when regexp_matches(joined, '[.]') then 'd.M.yyyy' end as format from cust where joined is not null)
+  select 'joined' as "column", format, count(*) as n from f group by 2""")
+def profile_date_formats(spark: SparkSession, d: str) -> DataFrame:
+    return profiling.date_formats(view(spark, d, "cust").select("joined"))
+
+
+@add("profile_keys", """with m as (select 'id' as "column", 0 as place, count(*) as n, count(id) as filled, count(distinct id) as k from cust union all select 'phone', 1, count(*), count(phone), count(distinct phone) from cust union all select 'code', 2, count(*), count(code), count(distinct trim(code)) from cust)
+  select "column", round(least(0.999, 0.55 * k / n + 0.2 * filled / n + 0.17 * case when "column" in ('id', 'code') then 1 else 0.4 end + 0.08 * case when place = 0 then 1 else 0.6 end), 3) as confidence, filled - k as duplicates
+  from m where filled / n >= 0.95 and k / n >= case when "column" in ('id', 'code') then 0.9 else 0.995 end""")
+def profile_keys(spark: SparkSession, d: str) -> DataFrame:
+    measured = profiling.measures(view(spark, d, "cust").select("id", "phone", "code"))
+    return profiling.key_scores(measured.withColumn("place", F.when(F.col("column") == "id", 0).when(F.col("column") == "phone", 1).otherwise(2)))
 
 
 @add("profile_top_values", "with c as (select 'segment' as \"column\", segment as item, count(*) as n from cust group by 2 union all select 'country', country, count(*) from cust where country is not null group by 2) select \"column\", item, n, cast(row_number() over (partition by \"column\" order by n desc, item) as integer) as place from c qualify place <= 10")
@@ -98,7 +132,7 @@ def profile_top_values(spark: SparkSession, d: str) -> DataFrame:
     return profiling.frequent(view(spark, d, "cust").select("segment", "country"))
 
 
-@add("profile_shapes", r"with c as (select regexp_replace(regexp_replace(regexp_replace(left(trim(phone), 40), '[0-9]', '9', 'g'), '[a-z]', 'a', 'g'), '[A-Z]', 'A', 'g') as item, count(*) as n from cust where phone is not null group by 1) select 'phone' as ""column"", item, n, cast(row_number() over (order by n desc, item) as integer) as place from c qualify place <= 6".replace('""column""', '"column"'))
+@add("profile_shapes", r"with c as (select regexp_replace(regexp_replace(regexp_replace(trim(phone), '[0-9]', '9', 'g'), '[a-z]', 'a', 'g'), '[A-Z]', 'A', 'g') as item, count(*) as n from cust where phone is not null group by 1) select 'phone' as ""column"", item, n, cast(row_number() over (order by n desc, item) as integer) as place from c qualify place <= 6".replace('""column""', '"column"'))
 def profile_shapes(spark: SparkSession, d: str) -> DataFrame:
     return profiling.frequent(view(spark, d, "cust").select("phone"), "shape", 6)
 

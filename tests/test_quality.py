@@ -5,7 +5,7 @@ import pytest
 from millweir.functions.conditions import StepError
 from millweir.plans.english import to_rule
 from millweir.plans.predicates import Predicate
-from millweir.plans.profiling import key_candidates, profile, relationships  # noqa: F401
+from millweir.plans.profiling import hints, light_quality, profile, relationships
 from millweir.plans.quality import QualityFailure, Rule, enforce, evaluate, split, stamp
 
 
@@ -58,3 +58,31 @@ def test_profile(spark):
     orders = spark.createDataFrame([("1",), ("1",), (" 2",), ("999",)], "cust_id string")
     found = relationships({"cust": df, "orders": orders}, {"cust": "cust_id"})
     assert [(r["from_dataset"], r["match_pct"], r["orphan_rows"]) for r in found] == [("orders", 66.7, 1)]
+
+
+def test_names_hint_at_meanings():
+    assert hints("Contact-Email") == {"email"} and "phone" in hints("mobileNumber") and hints("custId") == hints("cust_id") == hints("ID") == {"identifier"}
+    assert hints("grid_size") == set() and "date_of_birth" in hints("DOB")
+
+
+def test_light_quality(spark):
+    rows = [(f"u{i}@x.org" if i % 5 else "bad", f"+1555123{i:04d}" if i % 2 else f"555-{i:04d}", None if i % 10 == 0 else "2020-01-01") for i in range(100)]
+    q = light_quality(spark.createDataFrame([*rows, rows[1]], "mail string, phone string, made string"))
+    assert (q["rows"], q["null_cells"], q["duplicates"]) == (101, 10, 1)
+    assert q["invalid_by_type"]["email"] == {"invalid": 20, "values": 101, "pct": 19.8} and q["invalid_by_type"]["phone"]["invalid"] == 50
+    empty = light_quality(spark.createDataFrame([], "a string"))
+    assert empty["rows"] == 0 and empty["null_pct"] == 0.0
+
+
+def test_sentences():
+    from millweir.plans.english import requirement
+
+    columns = ["Age", "Start", "End", "Name"]
+    said = {
+        "Age should be no more than 5": "`Age` <= 5", "Name must end with x": "endswith(`Name`, 'x')", "Name contains only letters": "(`Name` RLIKE '^[A-Za-z]+$')", "Age must be at least 18 years": "datediff(current_date(), to_date(`Age`)) >= 6574", "Name must have 5 digits": "length(trim(`Name`)) = 5 AND trim(`Name`) RLIKE '^[0-9]+$'",
+        "Age cannot be negative": "`Age` >= 0", "Name must not be one of 'a b', c or d": "NOT (lower(trim(`Name`)) IN ('a b', 'c', 'd'))", "Age greater than 1,000.5": "`Age` > 1000.5", "Start must be on or before End": "`Start` <= `End`",
+    }
+    assert {t: requirement(t, columns)["sql"] for t in said} == said
+    for bad in ("nothing here", "Age", "Age must be null", "Age must be between 3"):
+        with pytest.raises(StepError):
+            requirement(bad, columns)
