@@ -1,15 +1,17 @@
 """Mapping of freely typed values to a canonical list (problem 4).
 
 One automaton over the canonical names and all aliases finds mentions at word ends in a folded value; the longest mentions that do
-not overlap win. What has no mention is compared as a set of tokens, in any order and run together, with the aliases, counting edits.
-Values with neither are reported as none. Rows are mapped where they are read, each distinct value once a worker, without a shuffle.
+not overlap win. What has no mention goes to token-set similarity: each token of an entry takes the token of the value that is spelt
+nearest, in any order, and the share of the entry's letters that agree is the similarity; tokens run together or parted count as one.
+An index of signatures (metric_join.py) finds the tokens in reach, so no value is compared with the whole list. Values with neither are
+reported as none. Rows are mapped where they are read, each distinct value once a worker, without a shuffle.
 The canonical list is broadcast: its size is checked against MOST_ENTRIES.
 """
 
 from __future__ import annotations
 
 import functools
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -18,9 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millweir.llm.editing import distance, fold
+from millweir.llm.editing import fold
+from millweir.llm.metric_join import Near
 
 MOST_ENTRIES = 200_000
+#: An entry among other words needs so many letters, of which so many must agree.
+LEAST_LETTERS, LEAST_SIMILARITY = 7, 0.8
 NONE = "none"
 #: Words around a name that do not change what it names.
 FILLERS = {"the", "of", "and", "city", "town", "centre", "center", "central", "greater", "downtown", "metro", "area", "region", "municipality", "district"}
@@ -73,10 +78,17 @@ class Lexicon:
             self.automaton.add_word(f" {alias} ", alias)
         if len(self.automaton):
             self.automaton.make_automaton()
-        self.lengths: dict[int, list[tuple[str, Counter, set[str]]]] = defaultdict(list)
+        # forms of whole token sets (run together as typed and sorted), and tokens, by the edits they may take
+        self.forms: dict[str, set[str]] = defaultdict(set)
+        self.sets: dict[str, set[tuple[str, ...]]] = defaultdict(set)
         for name, keys in self.plain.items():
-            for form in {name.replace(" ", ""), "".join(sorted(name.split()))}:
-                self.lengths[len(form)].append((form, Counter(form), keys))
+            words = tuple(sorted(name.split()))
+            for form in {name.replace(" ", ""), "".join(words)}:
+                self.forms[form] |= keys
+            for word in words:
+                self.sets[word].add(words)
+        self.near_forms = [Near([f for f in self.forms if most_edits(len(f) + r) >= r], r) for r in (1, 2, 3)]
+        self.near_words = [Near([w for w in self.sets if most_edits(len(w) + r) >= r], r) for r in (1, 2, 3)]
 
     def mentions(self, text: str) -> list[tuple[int, int, str]]:
         """Longest mentions that don't overlap, in a folded text: (start, end, alias)."""
@@ -89,25 +101,46 @@ class Lexicon:
                 chosen.append((start, end, alias))
         return sorted(chosen)
 
+    def _in_reach(self, word: str, near: list[Near], known: dict) -> list[tuple[int, str]]:
+        """(edits, spelling) of the nearest known spellings that a word may stand for; radii grow until one is met."""
+        if word in known:
+            return [(0, word)]
+        for radius, index in enumerate(near, 1):
+            if most_edits(len(word) + radius) < radius:
+                break
+            if found := [(d, w) for d, w in index.of(word) if d <= most_edits(max(len(w), len(word)))]:
+                least = min(found)[0]
+                return [x for x in found if x[0] == least]
+        return []
+
     def nearest(self, text: str) -> set[str]:
-        """The keys of the alias that takes the fewest edits, empty if that is too many."""
+        """The keys of the most similar entry as token sets, empty if none is similar enough."""
         words = [w for w in text.split() if not w.isdigit()]
-        forms = {"".join(words), "".join(sorted(words)), "".join(w for w in words if w not in FILLERS)} - {""}
-        best, keys = 99, set()
-        for form in forms:
-            letters = Counter(form)
-            for n in range(len(form) - 3, len(form) + 4):
-                most = most_edits(max(n, len(form)))
-                for alias, counts, its in self.lengths.get(n, ()):
-                    # an edit changes at most one letter on each side
-                    if max((letters - counts).total(), (counts - letters).total()) <= min(most, best):
-                        d = distance(form, alias, min(most, best))
-                        if d <= most:
-                            if d < best:
-                                best, keys = d, set(its)
-                            elif d == best:
-                                keys |= its
-        return keys
+        whole = {"".join(words), "".join(sorted(words)), "".join(w for w in words if w not in FILLERS)} - {""}
+        met = [x for form in whole for x in self._in_reach(form, self.near_forms, self.forms)]
+        if met:
+            least = min(met)[0]
+            return set().union(*(self.forms[f] for d, f in met if d == least))
+        return self.contained(words)
+
+    def contained(self, words: list[str]) -> set[str]:
+        """The keys of the entries whose tokens all stand among other words, misspelt; the one with the greatest similarity, then the longest."""
+        reach = {w: self._in_reach(w, self.near_words, self.sets) for w in set(words)}
+        at: dict[str, int] = {}
+        for found in reach.values():
+            for d, token in found:
+                at[token] = min(d, at.get(token, d))
+        scored = []
+        for entry in {e for token in at for e in self.sets[token]}:
+            letters = sum(map(len, entry))
+            if letters >= LEAST_LETTERS and all(t in at for t in entry) and len(entry) <= len(words):
+                similarity = 1 - sum(at[t] for t in entry) / letters
+                if similarity >= LEAST_SIMILARITY:
+                    scored.append((round(similarity, 6), letters, entry))
+        if not scored:
+            return set()
+        best = max(scored)[:2]
+        return set().union(*(keys for name, keys in self.plain.items() if any(x[:2] == best and x[2] == tuple(sorted(name.split())) for x in scored)))
 
     def resolve(self, value: str) -> tuple[set[str], str]:
         """The keys that a value may mean, and the rest of the folded value without their mentions."""

@@ -60,3 +60,12 @@ def test_places(spark):
     assert map_places(df.limit(0), "dealer_id", "city", "country", *_refs(spark)).count() == 0
     none = map_places(df, "dealer_id", "city", "country", *_refs(spark, [], [])).collect()
     assert {r.ref_key for r in none} == {"none"} and len(none) == sum(bool(v and v.strip()) for r, k in product(ROWS, (1, 2)) for v in [r[k]])
+
+
+def test_misspelt_entries_among_other_words(spark):
+    countries = spark.createDataFrame([("DE", "DEU", "Germany", "Federal Republic", "Deutschland")], "country_code string, iso3 string, country_name string, official_name string, local_name string")
+    cities = spark.createDataFrame([("1", "Hamburg", "DE"), ("2", "Bad Segeberg", "DE"), ("3", "Ulm", "DE")], "city_id string, city_name string, country_code string")
+    values = ["Hamubrg Altona", "Segebreg at Bad Kurpark", "near Ulmm", "Altona Nord"]
+    dealers = spark.createDataFrame([(i, v, None) for i, v in enumerate(values)], "dealer_id long, city string, country string")
+    got = {r.dealer_id: r.ref_key for r in map_places(dealers, "dealer_id", "city", "country", countries, cities).collect()}
+    assert (got[0], got[1], got[2], got[3]) == ("1", "2", "none", "none")

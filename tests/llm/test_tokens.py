@@ -16,7 +16,10 @@ def expected():
     return {k: enc.encode_ordinary(v) if v else [] for k, v in TEXTS.items()}
 
 
-def test_same_as_in_one_go_and_back(spark, expected):
+@pytest.mark.parametrize("spread", [T.SPREAD, 600])
+def test_same_as_in_one_go_and_back(spark, expected, spread, monkeypatch):
+    """Windows in the task that reads a text, and dealt over tasks."""
+    monkeypatch.setattr(T, "SPREAD", spread)
     df = spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").selectExpr("doc_id", "text", "'x' as ids", "1 as id")
     out = T.encode(df, "doc_id", "text")
     assert out.columns == ["doc_id", "ids"]
@@ -41,3 +44,17 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert T.encode(df, "doc_id", "text").count() == 6
     assert T.encode(df.limit(0), "doc_id", "text").count() == 0
     assert T.count_tokens(df, "doc_id", "text").where("n_tokens > 0").count() == 6
+
+
+def test_pieces_of_random_texts(monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(T, "WINDOW", 40)
+    monkeypatch.setattr(T, "OVERLAP", 12)
+    enc, cuts = T.encoder(T.TOKENIZER_DIR, "byte_bpe_50k"), 0
+    for _ in range(1500):
+        text = "".join(rng.choice(["a", "bc", "'s", "'re", " ", "  ", "\n\n", "\t", "12", ".", "é", "漢", "\x1c", "\u2028", "\xa0", "🙂"]) for _ in range(rng.randint(0, 120)))
+        pieces = T.cut(text, T.TOKENIZER_DIR)
+        cuts += len(pieces) - 1
+        assert "".join(pieces) == text
+        assert [i for p in pieces for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text), text
+    assert cuts > 1000
