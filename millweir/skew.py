@@ -27,6 +27,15 @@ def hot_keys(df: DataFrame, key: str, slices: int = SLICES) -> list[tuple[object
     return [(r.k, min(slices, -(-r.n * slices // total))) for r in top if r.n >= LEAST_ROWS and r.n * slices > total]
 
 
+def hot_of(counts: DataFrame, key: str, n: str = "n", slices: int = SLICES) -> list[tuple[object, int]]:
+    """hot_keys from counts that are known already, one row a key; keys left out of them can't be hot."""
+    top = counts.where(F.col(key).isNotNull()).orderBy(F.desc(n), F.asc(key)).limit(slices).select(F.col(key).alias("k"), F.col(n).alias("n")).collect()
+    if not top or top[0].n < LEAST_ROWS:
+        return []
+    total = counts.agg(F.sum(n)).first()[0]
+    return [(r.k, min(slices, -(-r.n * slices // total))) for r in top if r.n >= LEAST_ROWS and r.n * slices > total]
+
+
 def salts_of(key: Column, hot: list[tuple[object, int]]) -> Column:
     """How many salts a key has: 1 unless it is hot."""
     salts = F.create_map(*[F.lit(x) for pair in hot for x in pair])
