@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millweir.session import materialize
-from millweir.skew import salted_join
+from millweir.skew import hot_of, salted_join
 
 #: The letter classes of the histogram.
-LETTER_CLASSES = ["aeiou", "lnrst", "bcdfg", "hjkmp", "01234", "56789"]
+LETTER_CLASSES = ["aeiou", "lnrst", "bcdfg", "hjkmp", "01", "23", "45", "67", "8"]
 
 
 def stripped(col: Column) -> Column:
@@ -41,8 +41,8 @@ def find_copies(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
     full = reduce(lambda a, b: a & b, [F.coalesce(F.length(v) > 0, F.lit(False)) for v in values])
     rows = df.select(F.col(f"`{row_id}`").alias("row_id"), F.array_sort(F.array(*values)).alias("key"), full.alias("full")).where("full").drop("full")
     rows = rows.withColumn("cheap", _invariant(F.col("key")))
-    several = rows.groupBy("cheap").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cheap")
-    left = materialize(salted_join(rows, several, "cheap", F.col("row_id")).select("row_id", F.array_join("key", "|").alias("key")).withColumn("hash", F.xxhash64("key")), "copies")
+    several = materialize(rows.groupBy("cheap").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
+    left = materialize(salted_join(rows, several.select("cheap"), "cheap", F.col("row_id"), hot=hot_of(several, "cheap")).select("row_id", F.array_join("key", "|").alias("key")).withColumn("hash", F.xxhash64("key")), "copies")
     groups = left.groupBy("hash", "key").agg(F.min("row_id").alias("kept_id"), F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1")
     # two keys may share a hash: salts repeat a group once a salt, and the full key decides
     joined = salted_join(left, groups.withColumnRenamed("key", "group_key"), "hash", F.col("row_id"))

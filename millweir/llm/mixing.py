@@ -4,8 +4,9 @@ Sources overlap: a text may stand in several of them. Texts are aggregated by me
 counts. A min-cost flow routes each pattern's tokens to the sources' quotas; using a text again costs more each time (convex costs),
 so texts are repeated only where a source can't be filled otherwise, and never beyond its max_repeats. The flow then becomes
 documents: a pattern's texts lie on a circle in seeded order, each as long as its tokens; a source's flow is an arc that may go round
-several times, and a document is used as often as the arc passes its start. Positions are prefix sums by hash bucket, so no
-task holds a whole pattern. The driver sees one row a pattern: at most 2 to the power of the number of targets.
+several times, and a document is used as often as the arc passes its start. Positions are prefix sums by hash bucket, of which there are
+as many as the texts need, so no task holds a whole pattern. The driver sees one row a pattern that occurs: at most 2 to the power of
+the number of targets, and no more than there are texts under several sources and targets.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from millweir.session import materialize
 
-BUCKETS = 4096
+#: Texts of a bucket, of which one task orders those of a pattern; arcs that may be broadcast.
+BUCKET_TEXTS, MOST_BROADCAST = 20_000, 100_000
 
 
 class Flow:
@@ -93,26 +95,27 @@ def largest_total(sizes: dict[tuple[str, ...], int], shares: dict[str, float], r
     return low
 
 
-def mix(docs: DataFrame, row_id: str, source: str, text: str, tokens: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+def mix(sized: DataFrame, row_id: str, source: str, targets: DataFrame, total_tokens: int | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """(selection, report). selection: (row_id, source, n_tokens, uses); report: a row for each target.
 
-    tokens: (row_id, n_tokens). targets: (source, target_share, max_repeats). total_tokens: the size of the mix, by default the
-    largest at which every source that has texts gets its share. Equal texts are one document, which has the least id in each of its sources. Null, empty
-    and tokenless texts, null sources and sources without a target take no part. A target without texts is reported with what it lacks.
+    sized: (row_id, source, sign, n_tokens), a row a document, where equal texts have the same sign (tokens.sizes). targets: (source,
+    target_share, max_repeats). total_tokens: the size of the mix, by default the largest at which every source that has texts gets its
+    share. Equal texts are one document, which has the least id in each of its sources. Null, empty and tokenless texts, null sources and
+    sources without a target take no part. A target without texts is reported with what it lacks.
     """
     wanted = {r[0]: (float(r[1] or 0), max(0, int(r[2] or 0))) for r in targets.select("source", "target_share", "max_repeats").collect() if r[0] is not None}
-    sized = docs.select(F.col(row_id).alias("id"), F.col(source).alias("src"), F.sha2(F.col(text), 256).alias("sign")).where(F.col("sign").isNotNull() & F.col("src").isin(list(wanted)))
-    sized = sized.join(tokens.select(F.col(row_id).alias("id"), "n_tokens").where("n_tokens > 0"), "id")
-    by_text = sized.groupBy("sign", "src").agg(F.min("id").alias("id"), F.max("n_tokens").alias("n_tokens"))
+    rows = sized.select(F.col(row_id).alias("id"), F.col(source).alias("src"), "sign", "n_tokens").where(F.col("sign").isNotNull() & (F.col("n_tokens") > 0) & F.col("src").isin(list(wanted)))
+    by_text = rows.groupBy("sign", "src").agg(F.min("id").alias("id"), F.max("n_tokens").alias("n_tokens"))
     texts = by_text.groupBy("sign").agg(F.max("n_tokens").cast("long").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("src", "id"))).alias("members"))
-    texts = texts.select("sign", "n_tokens", "members", F.col("members.src").alias("pattern"), F.pmod(F.xxhash64(F.lit(seed), "sign"), F.lit(BUCKETS)).cast("int").alias("bucket"))
-    texts = materialize(texts, "texts")
+    texts = materialize(texts.select("sign", "n_tokens", "members", F.col("members.src").alias("pattern")), "texts")
+    buckets = max(16, texts.count() // BUCKET_TEXTS)
+    texts = texts.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "sign"), F.lit(buckets)).cast("int"))
     sums = texts.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("size"))
     sizes = {tuple(r.pattern): int(r.n) for r in sums.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
     total = largest_total(sizes, {s: share for s, (share, _) in wanted.items()}, {s: r for s, (_, r) in wanted.items()}) if total_tokens is None else total_tokens
     quotas = {s: round(share * total) for s, (share, _) in wanted.items()}
     flows = route(sizes, quotas, {s: r for s, (_, r) in wanted.items()})
-    spark = docs.sparkSession
+    spark = sized.sparkSession
     arcs, at = [], defaultdict(int)
     for (pattern, s), amount in sorted(flows.items()):
         arcs.append((list(pattern), s, at[pattern], at[pattern] + amount, sizes[pattern]))
@@ -123,7 +126,7 @@ def mix(docs: DataFrame, row_id: str, source: str, text: str, tokens: DataFrame,
     placed = texts.withColumn("inner", inner).join(before, ["pattern", "bucket"]).select("pattern", "members", "n_tokens", (F.col("offset") + F.col("inner")).alias("start"))
     # the points start, start + size, start + 2 size ... that lie in [arc_from, arc_to)
     passed = F.floor((F.col("arc_to") - F.col("start") + F.col("size") - 1) / F.col("size")) - F.floor((F.col("arc_from") - F.col("start") + F.col("size") - 1) / F.col("size"))
-    used = placed.join(F.broadcast(arc_rows), "pattern").withColumn("uses", passed.cast("int")).where("uses > 0")
+    used = placed.join(F.broadcast(arc_rows) if len(arcs) <= MOST_BROADCAST else arc_rows, "pattern").withColumn("uses", passed.cast("int")).where("uses > 0")
     chosen = F.filter("members", lambda m: m.getField("src") == F.col("src")).getItem(0).getField("id")
     selection = used.select(chosen.alias(row_id), F.col("src").alias("source"), F.col("n_tokens"), "uses")
     got = selection.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.sum(F.col("n_tokens") * F.col("uses")).alias("actual_tokens"), F.max("uses").alias("most_uses"))

@@ -9,7 +9,7 @@ from millweir.llm.canonical import NONE, map_places
 from millweir.llm.copies import collapse, find_copies
 from millweir.llm.mixing import mix
 from millweir.llm.names import business_members, pairs_of, person_members
-from millweir.llm.tokens import count_tokens, decode, encode
+from millweir.llm.tokens import decode, encode, sizes
 from millweir.llm.truncation import find_truncated, shares
 from millweir.session import table
 
@@ -61,7 +61,7 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents")
-    return mix(docs, "doc_id", "source", "text", count_tokens(docs, "doc_id", "text"), table(spark, d, "mix_targets"))
+    return mix(sizes(docs, "doc_id", "text", "source"), "doc_id", "source", table(spark, d, "mix_targets"))
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import os
 import runpy
 from collections.abc import Iterator
@@ -174,9 +175,20 @@ def encode(df: DataFrame, row_id: str, text: str, name: str = "byte_bpe_50k", fo
     return short.unionByName(_encode_long(long, kind, folder, name)).withColumnRenamed("id", row_id)
 
 
-def count_tokens(df: DataFrame, row_id: str, text: str, name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
-    """(row_id, n_tokens)."""
-    return encode(df, row_id, text, name, folder).select(row_id, F.size("ids").alias("n_tokens"))
+def sizes(df: DataFrame, row_id: str, text: str, keep: str, name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
+    """(row_id, keep, sign, n_tokens) of each row, from one pass over its text: sign is the text's SHA-256, null for a null text, which has no tokens."""
+    rows = df.select(F.col(f"`{row_id}`").alias("id"), F.col(f"`{keep}`").alias("keep"), F.col(f"`{text}`").alias("text"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(folder, name)
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            signs = [None if t is None else hashlib.sha256(t.encode()).digest() for t in texts]
+            counts = [sum(len(enc.encode_ordinary(p)) for p in cut(t, folder)) if t else 0 for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(signs, pa.binary()), pa.array(counts, pa.int64())], ["id", "keep", "sign", "n_tokens"])
+
+    return rows.mapInArrow(run, f"id {kinds['id']}, keep {kinds['keep']}, sign binary, n_tokens long").toDF(row_id, keep, "sign", "n_tokens")
 
 
 def decode(df: DataFrame, row_id: str, ids: str, name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:

@@ -3,6 +3,7 @@ import itertools
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from millweir.llm import mixing
 from millweir.llm.mixing import largest_total, mix, route
 
 
@@ -42,9 +43,9 @@ def test_largest_total():
 def test_mix(spark):
     docs = [(i, f"text {i}", "a") for i in range(300)] + [(1000 + i, f"small {i}", "b") for i in range(30)] + [(2000 + i, f"text {i}", "b") for i in range(20)] + [(3000, None, "a"), (3001, "", "a"), (3002, "x", None), (3003, "y", "other"), (3004, "text 0", "a")]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string").selectExpr("*", "1 as uses", "2 as pattern")
-    tokens = df.selectExpr("doc_id", "case when text is null or text = '' then 0 else 10 end as n_tokens")
+    sized = df.selectExpr("doc_id", "source", "sha2(text, 256) as sign", "case when text is null or text = '' then 0 else 10 end as n_tokens", "uses", "pattern")
     targets = spark.createDataFrame([("a", 0.7, 1), ("b", 0.2, 2), ("c", 0.1, 3)], "source string, target_share double, max_repeats int")
-    chosen, report = mix(df, "doc_id", "source", "text", tokens, targets, total_tokens=4000)
+    chosen, report = mix(sized, "doc_id", "source", targets, total_tokens=4000)
     rows = chosen.collect()
     uses = {}
     for r in rows:
@@ -55,9 +56,19 @@ def test_mix(spark):
     by = {r.source: r for r in report.collect()}
     assert (by["a"].actual_tokens, by["b"].actual_tokens, by["c"].actual_tokens) == (2800, 800, 0)
     assert by["c"].missed and by["c"].missing_tokens == 400 and not by["b"].missed
-    again = mix(df, "doc_id", "source", "text", tokens, targets, total_tokens=4000)[0]
+    again = mix(sized, "doc_id", "source", targets, total_tokens=4000)[0]
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
-    default = {r.source: r for r in mix(df, "doc_id", "source", "text", tokens, targets)[1].collect()}
+    default = {r.source: r for r in mix(sized, "doc_id", "source", targets)[1].collect()}
     assert not default["a"].missed and not default["b"].missed and default["c"].missed
-    assert mix(df.limit(0), "doc_id", "source", "text", tokens, targets)[0].count() == 0
-    assert mix(df, "doc_id", "source", "text", tokens, targets.limit(0))[0].count() == 0
+    assert mix(sized.limit(0), "doc_id", "source", targets)[0].count() == 0
+    assert mix(sized, "doc_id", "source", targets.limit(0))[0].count() == 0
+
+
+def test_many_buckets_select_as_one_does(spark, monkeypatch):
+    """Positions are prefix sums, so the tokens of each source don't depend on how many buckets there are."""
+    rows = [(i, "ab"[i % 2], f"t{i % 150}", 1 + i % 7) for i in range(400)]
+    sized = spark.createDataFrame(rows, "id long, source string, sign string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.6, 2), ("b", 0.4, 3)], "source string, target_share double, max_repeats int")
+    monkeypatch.setattr(mixing, "BUCKET_TEXTS", 1)
+    report = {r.source: r for r in mix(sized, "id", "source", targets)[1].collect()}
+    assert all(abs(r.actual_tokens - r.target_tokens) <= 14 and not r.missed for r in report.values())

@@ -43,7 +43,10 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert T.encode(df, "doc_id", "text").count() == 6
     assert T.encode(df.limit(0), "doc_id", "text").count() == 0
-    assert T.count_tokens(df, "doc_id", "text").where("n_tokens > 0").count() == 6
+    found = T.sizes(df.selectExpr("*", "'s' as source"), "doc_id", "text", "source")
+    assert found.count() == 6 and {(r.doc_id, r.n_tokens) for r in found.collect()} == {(r.doc_id, len(r.ids)) for r in T.encode(df, "doc_id", "text").collect()}
+    nothing = T.sizes(spark.createDataFrame([(1, None, None)], "id long, t string, k string"), "id", "t", "k").first()
+    assert nothing.sign is None and nothing.n_tokens == 0
 
 
 def test_pieces_of_random_texts(monkeypatch):
