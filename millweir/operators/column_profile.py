@@ -24,6 +24,8 @@ QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 GRID = [k / 32 for k in range(1, 32)]
 #: A column whose typical load has so many distinct numbers at most, each so often on average, is compared by exact values, kept apart within SPAN.
 FEW_VALUES, REPEATED, SPAN = 256, 8, 4096
+#: Buckets of whole texts, few so that unique values spread evenly at any size of a load, and of their endings.
+TEXT_BUCKETS, ENDING_BUCKETS = 32, 256
 #: A mask is dominant from this share of the typical load on.
 DOMINANT_SHARE = 0.002
 #: The least deviation from the column's median that may count, by metric; the last three are in units of the column's spread or ratio.
@@ -37,8 +39,10 @@ def _quoted(name: str) -> Column:
 
 
 def value_mask(col: Column, kind: T.DataType) -> Column:
-    """The character-class mask of a value, null for null."""
+    """The character-class mask of a value, null for null. Decimals count without closing noughts, whatever their magnitude."""
     text = col.cast("string")
+    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+        text = F.coalesce(F.regexp_replace(col.try_cast("decimal(38,6)").cast("string"), "0+$", ""), text)
     if not isinstance(kind, T.StringType):
         return F.translate(text, "012345678", "9" * 9)
     mask = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[\p{Ll}\p{Lo}]+", "a"), r"\p{Lu}+", "A"), r"\p{Nd}+", "9")
@@ -47,13 +51,13 @@ def value_mask(col: Column, kind: T.DataType) -> Column:
 
 
 def value_bucket(col: Column, kind: T.DataType, bins: list[float] | None = None) -> Column:
-    """A bucket of the value itself: of the last twelve letters of a text, or the sign and magnitude of a number with its bin.
+    """A bucket of the value itself: of a whole text, or the sign and magnitude of a number with its bin.
 
     bins: the edges between bins; none at all ([]) for exact values, whole numbers SPAN apart or other numbers of one hash falling together
     only if their magnitudes do; None for the magnitude alone.
     """
     if isinstance(kind, T.StringType):
-        return F.pmod(F.xxhash64(F.lower(F.right(col, F.lit(12)))), F.lit(256)).cast("long")
+        return F.pmod(F.xxhash64(F.lower(col)), F.lit(TEXT_BUCKETS)).cast("long")
     if isinstance(kind, T.NumericType):
         number = col.cast("double")
         magnitude = (F.signum(number) * F.floor(F.log2(F.abs(number) + 1) * 2)).try_cast("int").cast("long")
@@ -67,26 +71,40 @@ def value_bucket(col: Column, kind: T.DataType, bins: list[float] | None = None)
     return F.lit(None).cast("long")
 
 
+def ending_bucket(col: Column, kind: T.DataType) -> Column:
+    """Of texts whose last part (a domain, a unit, a form of company) repeats more than the whole: a bucket of it; null for other types."""
+    if not isinstance(kind, T.StringType):
+        return F.lit(None).cast("long")
+    return F.pmod(F.xxhash64(F.lower(F.regexp_extract(col, r"([^\s@,;/]*)\s*$", 1))), F.lit(ENDING_BUCKETS)).cast("long")
+
+
 def _columns(df: DataFrame, load: str, columns: list[str] | None) -> list[T.StructField]:
     return [f for f in df.schema.fields if f.name != load and (columns is None or f.name in columns) and isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.BinaryType)]
 
 
 def column_metrics(df: DataFrame, load: str, columns: list[str] | None = None, points: list[float] = QUANTILES) -> DataFrame:
-    """A row for each column and load: rows, nulls, distinct values (about 1 %), least and greatest value, quantiles of numbers (at points).
+    """A row for each column and load: rows, nulls, distinct values, least and greatest value, quantiles of numbers (at points).
 
-    One scan and one aggregation whatever the number of columns; rows without a load are a load of their own (null).
+    One scan and one aggregation whatever the number of columns, and for the exact distinct values a scan of each column alone, whose
+    (load, value) pairs are combined before the shuffle; rows without a load are a load of their own (null).
     """
     aggs, rows = [F.count(F.lit(1)).alias("n")], []
     for i, f in enumerate(_columns(df, load, columns)):
         c = _quoted(f.name)
         numeric = isinstance(f.dataType, T.NumericType)
-        aggs += [F.count(c).alias(f"c{i}"), F.approx_count_distinct(c, 0.01).alias(f"d{i}"), F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}")]
+        aggs += [F.count(c).alias(f"c{i}"), F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}")]
         if numeric:
             aggs.append(F.percentile_approx(c.cast("double"), points, 2000).alias(f"q{i}"))
         quantiles = F.col(f"q{i}") if numeric else F.lit(None).cast("array<double>")
-        rows.append(F.struct(F.lit(f.name).alias("col_name"), (F.col("n") - F.col(f"c{i}")).alias("n_null"), F.col(f"d{i}").alias("n_distinct"), F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value"), quantiles.alias("quantiles")))
+        rows.append(F.struct(F.lit(f.name).alias("col_name"), (F.col("n") - F.col(f"c{i}")).alias("n_null"), F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value"), quantiles.alias("quantiles")))
     wide = df.groupBy(_quoted(load).cast("int").alias("load_id")).agg(*aggs)
-    return wide.select("load_id", F.col("n").alias("n_rows"), F.inline(F.array(*rows)))
+    if not rows:
+        return wide.select("load_id", F.col("n").alias("n_rows"), *[F.lit(None).cast(t).alias(c) for c, t in (("col_name", "string"), ("n_null", "long"), ("min_value", "string"), ("max_value", "string"), ("quantiles", "array<double>"), ("n_distinct", "long"))]).limit(0)
+    known = wide.select("load_id", F.col("n").alias("n_rows"), F.inline(F.array(*rows)))
+    at = _quoted(load).cast("int")
+    different = reduce(DataFrame.unionAll, [df.groupBy(at.alias("load_id")).agg(F.count_distinct(_quoted(f.name)).alias("n_distinct")).select("load_id", F.lit(f.name).alias("col_name"), "n_distinct") for f in _columns(df, load, columns)])
+    different = F.broadcast(different.withColumnRenamed("load_id", "_load").withColumnRenamed("col_name", "_col"))  # a row a column and load
+    return known.join(different, F.col("load_id").eqNullSafe(F.col("_load")) & (F.col("col_name") == F.col("_col")), "left").drop("_load", "_col")
 
 
 def typical_bins(metrics: DataFrame) -> dict[str, list[float]]:
@@ -101,14 +119,15 @@ def typical_bins(metrics: DataFrame) -> dict[str, list[float]]:
 
 def mask_histogram(df: DataFrame, load: str, columns: list[str] | None = None, bins: dict[str, list[float]] | None = None) -> DataFrame:
     """(col_name, load_id, kind, item, n): how often each mask and each bucket of values occurs, combined before the shuffle."""
-    parts = [
-        F.struct(F.lit(f.name).alias("col_name"), value_mask(_quoted(f.name), f.dataType).alias("mask"), value_bucket(_quoted(f.name), f.dataType, (bins or {}).get(f.name)).alias("bucket"))
-        for f in _columns(df, load, columns)
-    ]
-    long = df.select(_quoted(load).cast("int").alias("load_id"), F.inline(F.array(*parts))).where(F.col("mask").isNotNull())
-    joint = long.groupBy("load_id", "col_name", "mask", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    sides = F.array(F.struct(F.lit("mask").alias("kind"), F.col("mask").alias("item")), F.struct(F.lit("value").alias("kind"), F.col("bucket").cast("string").alias("item")))
-    return joint.select("load_id", "col_name", "n", F.inline(sides)).where(F.col("item").isNotNull()).groupBy("load_id", "col_name", "kind", "item").agg(F.sum("n").alias("n"))
+    parts = []
+    for f in _columns(df, load, columns):
+        c, kind = _quoted(f.name), f.dataType
+        items = {"mask": value_mask(c, kind), "value": value_bucket(c, kind, (bins or {}).get(f.name)).cast("string"), "ending": ending_bucket(c, kind).cast("string")}
+        parts += [F.struct(F.lit(f.name).alias("col_name"), F.lit(what).alias("kind"), item.alias("item")) for what, item in items.items() if what == "mask" or isinstance(kind, (T.StringType, T.NumericType)) and (what == "value" or isinstance(kind, T.StringType))]
+    at = _quoted(load).cast("int").alias("load_id")
+    if not parts:
+        return df.select(at, *[F.lit(None).cast("string").alias(c) for c in ("col_name", "kind", "item")], F.lit(0).cast("long").alias("n")).limit(0)
+    return df.select(at, F.inline(F.array(*parts))).where(F.col("item").isNotNull()).groupBy("load_id", "col_name", "kind", "item").agg(F.count(F.lit(1)).alias("n"))
 
 
 def typical_items(hist: DataFrame) -> DataFrame:
@@ -138,7 +157,7 @@ def divergences(items: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("typical") < DOMINANT_SHARE, p).otherwise(0.0)).alias("rare_share"),
     )
     one = lambda kind, what: F.max(F.when(F.col("kind") == kind, F.col(what)))
-    return per.groupBy("col_name", "load_id").agg(one("mask", "jsd").alias("mask_jsd"), one("value", "jsd").alias("value_jsd"), one("mask", "rare_share").alias("rare_share"), one("value", "rare_share").alias("rare_values"))
+    return per.groupBy("col_name", "load_id").agg(one("mask", "jsd").alias("mask_jsd"), F.greatest(one("value", "jsd"), one("ending", "jsd")).alias("value_jsd"), one("mask", "rare_share").alias("rare_share"), one("value", "rare_share").alias("rare_values"))
 
 
 _SCORED = "col_name string, load_id int, n_rows long, null_share double, n_distinct long, min_value string, max_value string, quantiles array<double>, rare_share double, mask_jsd double, value_jsd double, departs boolean, reasons array<string>"

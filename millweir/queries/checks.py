@@ -9,7 +9,7 @@ from millweir.operators.column_profile import column_metrics, mask_violations, p
 from millweir.operators.orphans import find_orphans, orphan_counts, parent_validity
 from millweir.session import table
 
-#: The columns of p1_found; p1_profile and p1_masks cover every column of both tables, p1_extent its texts and whole numbers, as its SQL does.
+#: The columns of p1_found; p1_profile, p1_masks and p1_extent cover every column of both tables.
 WATCHED = {"inventory": ["list_price", "model_year"], "sales_reps": ["email"]}
 
 
@@ -28,12 +28,14 @@ def p1_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_masks(spark: SparkSession, d: str) -> DataFrame:
-    return _both(spark, d, lambda _, df: mask_violations(df, "load_id"))
+    return _both(spark, d, lambda _, df: mask_violations(df, "load_id")).select("tbl_name", "col_name", "load_id", "mask", "n")
 
 
 def p1_extent(spark: SparkSession, d: str) -> DataFrame:
-    rows = _both(spark, d, lambda _, df: column_metrics(df.select("load_id", *[c for c, t in df.dtypes if t in ("string", "int", "bigint") and c != "load_id"]), "load_id"))
-    return rows.select("tbl_name", "col_name", "load_id", "n_rows", "n_null", "min_value", "max_value")
+    rows = _both(spark, d, lambda _, df: column_metrics(df, "load_id"))
+    # a decimal's digits don't depend on who writes it
+    shown = lambda c: F.when(F.col("col_name") == "list_price", F.col(c).try_cast("double").cast("decimal(20,4)").cast("string")).otherwise(F.col(c)).alias(c)
+    return rows.select("tbl_name", "col_name", "load_id", "n_rows", "n_null", "n_distinct", shown("min_value"), shown("max_value"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,21 +64,41 @@ _P5 = """
 """
 
 
+_COLUMNS = {
+    "inventory": {"stock_id": "whole", "dealer_id": "whole", "vin": "text", "make": "text", "model": "text", "model_year": "whole", "list_price": "decimal", "status": "text", "modified_at": "time", "loaded_at": "time"},
+    "sales_reps": {"rep_id": "whole", "dealer_id": "whole", "full_name": "text", "email": "text", "phone": "text", "hired_on": "text", "modified_at": "time", "loaded_at": "time"},
+}
+
+
 def _extent_sql() -> str:
-    columns = {
-        "inventory": ["stock_id", "dealer_id", "vin", "make", "model", "model_year", "status"],
-        "sales_reps": ["rep_id", "dealer_id", "full_name", "email", "phone", "hired_on"],
-    }
+    shown = lambda c, kind, of: f"cast(cast({of}({c}) as decimal(20,4)) as varchar)" if kind == "decimal" else f"cast({of}({c}) as varchar)"
     return "\nunion all ".join(
-        f"select '{t}' as tbl_name, '{c}' as col_name, load_id, count(*) as n_rows, count(*) - count({c}) as n_null, "
-        f"cast(min({c}) as varchar) as min_value, cast(max({c}) as varchar) as max_value from {t} group by load_id"
-        for t, cs in columns.items()
-        for c in cs
+        f"select '{t}' as tbl_name, '{c}' as col_name, load_id, count(*) as n_rows, count(*) - count({c}) as n_null, count(distinct {c}) as n_distinct, {shown(c, kind, 'min')} as min_value, {shown(c, kind, 'max')} as max_value from {t} group by load_id"
+        for t, columns in _COLUMNS.items()
+        for c, kind in columns.items()
     )
 
 
+def _masks_sql() -> str:
+    def mask(c: str, kind: str) -> str:
+        if kind != "text":
+            text = f"regexp_replace(cast(cast({c} as decimal(38,6)) as varchar), '0+$', '')" if kind == "decimal" else f"cast({c} as varchar)"
+            return f"regexp_replace({text}, '[0-8]', '9', 'g')"
+        for pattern, by in (("[\\p{Ll}\\p{Lo}]+", "a"), ("\\p{Lu}+", "A"), ("\\p{Nd}+", "9"), ("[aA9]{4,}", "x"), ("([aAx9][^aAx9]){6,}", "+")):
+            c = f"regexp_replace({c}, '{pattern}', '{by}', 'g')"
+        return c
+
+    values = " union all ".join(f"select '{t}' as t, '{c}' as c, load_id, {mask(c, kind)} as mask from {t}" for t, columns in _COLUMNS.items() for c, kind in columns.items())
+    return f"""
+      with v as ({values}), n as (select t, c, load_id, mask, count(*) as n from v where mask is not null group by all), s as (select *, n / sum(n) over (partition by t, c, load_id) as share from n),
+      l as (select t, c, count(distinct load_id) as loads from n group by all), k as (select t, c, mask, list(share) as seen from s group by all),
+      m as (select k.t, k.c, k.mask, list_aggregate(list_concat(seen, list_transform(range(loads - len(seen)), lambda x: 0.0)), 'median') as typical from k join l on k.t = l.t and k.c = l.c)
+      select s.t as tbl_name, s.c as col_name, s.load_id, s.mask, s.n from s join m on s.t = m.t and s.c = m.c and s.mask = m.mask where typical < 0.002"""
+
+
 ORACLES = {
     "p1_extent": _extent_sql(),
+    "p1_masks": _masks_sql(),
     "p5_found": _P5,
     "p5_counts": f"select tbl_name, load_id, kind, count(*) as n_rows from ({_P5}) group by all",
 }
