@@ -11,6 +11,7 @@ from millweir.functions import kernels as K
 from millweir.operators.registry import ROW_ID
 from millweir.plans.pipeline import Pipeline
 from millweir.plans.quality import Rule, enforce, evaluate, results, split, stamp
+from millweir.session import materialize
 from millweir.sources.writers import Target, write
 
 #: Columns that bronze adds.
@@ -65,7 +66,8 @@ def build(pipeline: Pipeline, folder: str | None = None, least_score: float | No
     tables = Tables({}, {}, {}, {}, {})
     for name in doc.get("datasets", {}):
         rules = [Rule(**{k: v for k, v in r.items() if k != "dataset"}) for r in doc.get("rules", []) if r.get("dataset") == name]
-        df = pipeline.result(name).df.drop(ROW_ID)
+        # steps run once: rules, scores, silver and quarantine read what they gave
+        df = materialize(pipeline.result(name).df.drop(ROW_ID), "cleaned")
         load = lambda n: pipeline.result(n).df
         report = evaluate(df, rules, load, pipeline.today)
         enforce(report, least_score)

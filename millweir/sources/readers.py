@@ -5,19 +5,25 @@ Detection looks at the first bytes on the driver; reading is Spark's.
 
 from __future__ import annotations
 
+import io
 import re
+import uuid
 import zipfile
 from collections import Counter
-from pathlib import Path, PurePosixPath
+from functools import reduce
+from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millweir.session import shared_folder
+
 #: Formats by ending.
 ENDINGS = {"csv": "csv", "txt": "csv", "tsv": "tsv", "json": "json", "ndjson": "jsonl", "jsonl": "jsonl", "xml": "xml", "parquet": "parquet", "avro": "avro", "orc": "orc", "xlsx": "xlsx", "xlsm": "xlsx", "zip": "zip", "gz": "gz"}
-HEAD = 2048
+#: Bytes that detection looks at.
+HEAD, XML_HEAD = 2048, 4 << 20
 
 
 def sniff_format(name: str, head: bytes) -> str:
@@ -58,15 +64,40 @@ def sniff_delimiter(line: str) -> str:
     return max(",;\t|", key=lambda d: (bare.count(d), -",;\t|".index(d))) if any(d in bare for d in ",;\t|") else ","
 
 
-def _head(path: str) -> bytes:
-    local = path.removeprefix("file://")
-    with open(local, "rb") as f:
-        return f.read(HEAD)
+def _file(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of a file anywhere that Spark can read."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def read_bytes(spark: SparkSession, path: str, most: int | None = None) -> bytes:
+    """A file's first bytes, or a file of bounded size whole, on the driver."""
+    fs, at = _file(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readNBytes(most) if most else stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def _head(spark: SparkSession, path: str) -> bytes:
+    """The first bytes of a file, or of the first file of a folder or pattern."""
+    fs, at = _file(spark, path)
+    found = fs.globStatus(at)
+    while found:
+        first = min((f for f in found if not f.getPath().getName().startswith(("_", "."))), key=lambda f: f.getPath().toString(), default=None)
+        if first is None:
+            return b""
+        if first.isFile():
+            return read_bytes(spark, first.getPath().toString(), HEAD)
+        found = fs.listStatus(first.getPath())
+    raise FileNotFoundError(path)
 
 
 def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
     """All columns as text; lines with too many or too few fields are kept (cut or filled with nulls)."""
-    head = _head(path) if "sep" not in options or "encoding" not in options else b""
+    head = _head(spark, path) if "sep" not in options or "encoding" not in options else b""
     encoding = options.pop("encoding", None) or sniff_encoding(head)
     first = head.decode(encoding, "replace").splitlines()[0] if head else ""
     sep = options.pop("sep", None) or ("\t" if path.endswith(".tsv") else sniff_delimiter(first))
@@ -86,26 +117,23 @@ def json_entities(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
 
 
-def xml_record_tag(path: str) -> str:
-    """The tag that occurs most often right below the root."""
+def xml_record_tag(spark: SparkSession, path: str) -> str:
+    """The tag that occurs most often right below the root, in the first megabytes."""
     counts: Counter[str] = Counter()
-    depth = 0
-    for event, node in ElementTree.iterparse(path.removeprefix("file://"), events=("start", "end")):
-        if event == "start":
-            depth += 1
-            counts[node.tag.rsplit("}", 1)[-1]] += depth == 2
-        else:
-            depth -= 1
-            if depth == 1:
-                node.clear()
-        if counts.total() >= 1000:
-            break
+    depth, parser = 0, ElementTree.XMLPullParser(("start", "end"))
+    parser.feed(read_bytes(spark, path, XML_HEAD))
+    for event, node in parser.read_events():
+        depth += 1 if event == "start" else -1
+        if event == "start" and depth == 2:
+            counts[node.tag.rsplit("}", 1)[-1]] += 1
+    if not counts:
+        raise ValueError(f"{path} has no elements below its root")
     return counts.most_common(1)[0][0]
 
 
 def read_xml(spark: SparkSession, path: str, tag: str | None = None) -> DataFrame:
     """Attributes and elements as text columns; the text of an element with attributes is its value."""
-    return spark.read.format("xml").option("rowTag", tag or xml_record_tag(path)).option("attributePrefix", "").option("valueTag", "value").option("inferSchema", "false").load(path)
+    return spark.read.format("xml").option("rowTag", tag or xml_record_tag(spark, path)).option("attributePrefix", "").option("valueTag", "value").option("inferSchema", "false").load(path)
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
@@ -114,7 +142,7 @@ def read_sheet(spark: SparkSession, path: str, sheet: str | None = None) -> Data
     A workbook is a zip of XML of bounded size, so it is read on the driver.
     """
     ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
-    with zipfile.ZipFile(path.removeprefix("file://")) as z:
+    with zipfile.ZipFile(io.BytesIO(read_bytes(spark, path))) as z:
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
         links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         sheets = {s.get("name"): links[s.get(f"{{{ns['r']}}}id")] for s in book.iter(f"{{{ns['m']}}}sheet")}
@@ -148,27 +176,39 @@ def read_sheet(spark: SparkSession, path: str, sheet: str | None = None) -> Data
     return spark.createDataFrame([tuple(r.get(i) for i in range(width)) for r in rows[1:]], T.StructType([T.StructField(n, T.StringType()) for n in names]))
 
 
-def unzip(path: str, folder: str) -> list[str]:
-    """Members of an archive put in a folder (one the executors share); names that leave it are refused. Returns the data files."""
-    made = []
-    root = Path(folder).resolve()
-    with zipfile.ZipFile(path.removeprefix("file://")) as z:
-        for name in z.namelist():
-            target = (root / PurePosixPath(name)).resolve()
-            if not target.is_relative_to(root):
-                raise ValueError(f"the archive's member {name!r} leaves the folder")
-            if not name.endswith("/") and name.rsplit(".", 1)[-1].lower() in ENDINGS:
-                target.parent.mkdir(parents=True, exist_ok=True)
-                with z.open(name) as source, open(target, "wb") as out:
-                    while chunk := source.read(1 << 20):
-                        out.write(chunk)
-                made.append(str(target))
+def unzip(spark: SparkSession, path: str, folder: str) -> list[str]:
+    """Data files of an archive put in a folder that the executors share; members that would leave it are refused. Bytes stream through
+    Spark's file systems, so that neither side need be local."""
+    jvm = spark.sparkContext._jvm
+    (fs, at), (out_fs, root) = _file(spark, path), _file(spark, folder)
+    made, archive = [], jvm.java.util.zip.ZipInputStream(fs.open(at))
+    try:
+        while (entry := archive.getNextEntry()) is not None:
+            name = PurePosixPath(entry.getName().replace("\\", "/"))
+            if name.is_absolute() or ".." in name.parts:
+                raise ValueError(f"the archive's member {str(name)!r} leaves the folder")
+            if not entry.isDirectory() and name.suffix[1:].lower() in ENDINGS:
+                target = jvm.org.apache.hadoop.fs.Path(root, str(name))
+                sink = out_fs.create(target, True)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(archive, sink, 1 << 20, False)
+                sink.close()
+                made.append(target.toString())
+    finally:
+        archive.close()
     return made
 
 
+def _members(spark: SparkSession, path: str, member: str | None, options: dict) -> DataFrame:
+    """The data files of an archive, by column name; a column that a file lacks is null there."""
+    files = [f for f in unzip(spark, path, f"{shared_folder(spark)}/millweir-zip-{uuid.uuid4().hex}") if member is None or f.endswith("/" + member)]
+    if not files:
+        raise ValueError(f"{path} holds no data file{f' {member!r}' if member else ''}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read_file(spark, f, **options) for f in files])
+
+
 def read_file(spark: SparkSession, path: str, limit: int | None = None, **options) -> DataFrame:
-    """Any supported file by its format; limit: at most so many rows."""
-    kind = options.pop("format", None) or sniff_format(path, _head(path))
+    """Any supported file by its format, archives member by member; limit: at most so many rows."""
+    kind = options.pop("format", None) or sniff_format(path, _head(spark, path))
     if kind == "gz":
         kind = ENDINGS.get(path.lower().removesuffix(".gz").rsplit(".", 1)[-1], "csv")
         options |= {"sep": options.get("sep", "\t" if kind == "tsv" else ","), "encoding": options.get("encoding", "UTF-8")} if kind in ("csv", "tsv") else {}
@@ -182,8 +222,10 @@ def read_file(spark: SparkSession, path: str, limit: int | None = None, **option
         df = read_sheet(spark, path, options.get("sheet"))
     elif kind in ("parquet", "orc", "avro"):
         df = spark.read.format(kind).load(path)
+    elif kind == "zip":
+        df = _members(spark, path, options.pop("member", None), options)
     else:
-        raise ValueError(f"files of the format {kind} are read member by member: see unzip()")
+        raise ValueError(f"there is no reader for the format {kind}")
     return df.limit(limit) if limit else df
 
 

@@ -50,7 +50,11 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merge_files(df: DataFrame, target: Target) -> None:
-    """An upsert into a folder: the merged table is written beside it and swapped in by renaming, so readers see old or new whole."""
+    """An upsert into a folder: the merged table is written beside it and put in its place by two renames.
+
+    A reader that comes between the renames finds no table, but never a part of one; if the second fails, the first is undone. Where
+    readers may come at any time, use a table format with transactions.
+    """
     spark = df.sparkSession
     if not target.keys:
         raise ValueError("a merge needs keys")
@@ -67,7 +71,9 @@ def merge_files(df: DataFrame, target: Target) -> None:
     writer.save(beside.toString())
     if fs.exists(here):
         fs.rename(here, old)
-    fs.rename(beside, here)
+    if not fs.rename(beside, here):
+        fs.rename(old, here)
+        raise OSError(f"{target.path} could not be replaced")
     if fs.exists(old):
         fs.delete(old, True)
 

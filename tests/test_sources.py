@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from millweir.operators.registry import Context
 from millweir.plans.lakehouse import build
-from millweir.plans.pipeline import Pipeline
+from millweir.plans.pipeline import Pipeline, policy_problems
+from millweir.session import shared_folder
 from millweir.sources.readers import incremental_column, json_entities, read_file, sniff_delimiter, sniff_encoding, sniff_format, unzip
-from millweir.sources.rest import pages
+from millweir.sources.rest import MorePages, pages, read_pages
 from millweir.sources.writers import Target, merge_sql, write
 from millweir.streaming.stream import apply_steps, file_stream, for_each_batch
 from millweir.functions.conditions import StepError
@@ -34,11 +35,11 @@ def test_files(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "e.zip", "w") as z:
         z.writestr("export/a.csv", "a\n1\n")
         z.writestr("README.md", "no data")
-    assert [p.rsplit("/", 1)[-1] for p in unzip(str(tmp_path / "e.zip"), str(tmp_path / "out"))] == ["a.csv"]
+    assert [p.rsplit("/", 1)[-1] for p in unzip(spark, str(tmp_path / "e.zip"), str(tmp_path / "out"))] == ["a.csv"]
     with zipfile.ZipFile(tmp_path / "f.zip", "w") as z:
         z.writestr("../evil.csv", "a")
     with pytest.raises(ValueError):
-        unzip(str(tmp_path / "f.zip"), str(tmp_path / "out"))
+        unzip(spark, str(tmp_path / "f.zip"), str(tmp_path / "out"))
 
 
 def test_sheet(spark, tmp_path):
@@ -62,7 +63,32 @@ def test_pages():
         return {"items": data[at : at + 3], "next_cursor": str(at + 3) if at + 3 < 7 else None}
 
     assert list(pages(fetch, "u", "page", "items", 3)) == data == list(pages(fetch, "u", "cursor", "items", 3))
-    assert len(list(pages(fetch, "u", "page", "items", 3, most=2))) == 6
+    with pytest.raises(MorePages):
+        list(pages(fetch, "u", "page", "items", 3, most=2))
+    assert list(pages(fetch, "u", "page", "items", 3, most=3)) == data
+
+
+def test_read_pages_fetches_each_page_once(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def fetch(url, q):
+        with open(log, "a") as f:
+            f.write(f"{url} {q['page']}\n")
+        return [{"i": f"{url}{q['page']}{k}", "at": {"k": k}} for k in range(2 if q["page"] == 1 else 1)]
+
+    df = read_pages(spark, fetch, ["u", "v"], style="page", size=2)
+    assert sorted((r.i, r["at"].k) for r in df.collect()) == sorted((f"{u}{p}{k}", str(k)) for u in "uv" for p, k in ((1, 0), (1, 1), (2, 0)))
+    assert len(open(log).read().splitlines()) == 4
+
+
+def test_archives_through_the_dispatcher(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "e.zip", "w") as z:
+        z.writestr("x/a.csv", "a,b\n1,2\n")
+        z.writestr("x/b.csv", "a,c\n3,4\n")
+    assert sorted(map(tuple, read_file(spark, f"file://{tmp_path}/e.zip").collect())) == [("1", "2", None), ("3", None, "4")]
+    assert read_file(spark, str(tmp_path / "e.zip"), member="b.csv").columns == ["a", "c"]
+    with pytest.raises(ValueError):
+        read_file(spark, str(tmp_path / "e.zip"), member="none.csv")
 
 
 def test_merges(spark, tmp_path):
@@ -93,3 +119,20 @@ def test_stream(spark, tmp_path):
     seen = []
     for_each_batch(made, lambda df, n: seen.extend(r.v for r in df.where(F.col("_source_file").isNotNull()).collect()), str(tmp_path / "cp")).awaitTermination()
     assert sorted(seen) == ["x0", "x1", "x2", "x3", "x4"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Elsewhere)
+
+
+def test_policy():
+    assert policy_problems({"steps": [{"params": {"sql": "x"}}]}) and policy_problems({"a": ["x" * 2001]}) and policy_problems({"steps": [{"Code": 1}]})
+    assert not policy_problems({"rules": [{"rule": "expression", "params": {"sql": "a > 1"}}]})
