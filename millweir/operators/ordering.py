@@ -6,13 +6,16 @@ range of the order key, each partition keeps what it needs from its end, and tho
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from millweir.functions import kernels as K
 from millweir.functions.conditions import StepError
 from millweir.operators.registry import ROW_ID, Context
 from millweir.session import materialize
+from millweir.skew import spread_join
 
 
 def order_names(df: DataFrame, ctx: Context, first: str | None = None) -> list[str]:
@@ -91,13 +94,42 @@ def exact_quantiles(df: DataFrame, value: Column, at: dict[str, float]) -> DataF
     return rows.agg(*made)
 
 
-def group_quantiles(counts: DataFrame, group: list[str], at: dict[str, float]) -> DataFrame:
-    """(group, quantiles): exact_quantiles of each group at once, from counts (group, v, n) with one row a group and value.
+def ranks(df: DataFrame, key: str, alias: str, dense: bool = False) -> DataFrame:
+    """df with the rank of each row's key over the whole table, null for null: running counts of the distinct keys, joined back."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_rank_key")).agg(F.count(F.lit(1)).alias("_rank_n"))
+    step = F.lit(1).cast("long") if dense else F.col("_rank_n")
+    placed = running(counts, ["_rank_key"], step, "_upto").select("_rank_key", (F.col("_upto") - (0 if dense else F.col("_rank_n") - 1)).cast("int").alias(alias))
+    return spread_join(df.drop(alias) if alias in df.columns else df, placed, [(F.col(key), F.col("_rank_key"))], "left", nulls_match=False).drop("_rank_key")
+
+
+#: Rows of a block in which neighbours of a row are looked up.
+BLOCK_ROWS = 200_000
+
+
+def in_blocks(df: DataFrame, names: list[str], made: Callable[[WindowSpec], Column], before: int, after: int, alias: str) -> DataFrame:
+    """df with a window function that looks at so many rows before and after each row of the whole table.
+
+    Rows are numbered in order and split into blocks; the rows at a block's ends stand in the neighbouring blocks as well, where they are
+    only looked at. A block is larger than what a function looks at, so one neighbour on each side is enough.
+    """
+    size = max(BLOCK_ROWS, before, after)
+    numbered = running(df, names, F.lit(1).cast("long"), "_at")
+    block, place = F.floor((F.col("_at") - 1) / size), (F.col("_at") - 1) % size
+    own = F.struct(block.alias("block"), F.lit(True).alias("own"))
+    next_one = F.when(place >= size - before, F.struct((block + 1).alias("block"), F.lit(False).alias("own")))
+    last_one = F.when(place < after, F.struct((block - 1).alias("block"), F.lit(False).alias("own")))
+    spread = numbered.select("*", F.explode(F.filter(F.array(own, next_one, last_one), lambda x: x.isNotNull())).alias("_in"))
+    window = Window.partitionBy("_in.block").orderBy("_at")
+    return spread.withColumn(alias, made(window)).where("_in.own").drop("_in", "_at")
+
+
+def group_quantiles(counts: DataFrame, group: list[str], at: dict[str, float], value: str = "v") -> DataFrame:
+    """(group, quantiles): exact_quantiles of each group at once, from counts (group, value, n) with one row a group and value.
 
     Ranks come from running counts by range partition, so neither a task nor the driver gets all values of a group. NaN is left out;
     null is a group as well. Groups without values give no row.
     """
-    keyed = counts.where("v is not null and not isnan(v)").select(F.struct(*map(K.col, group)).alias("_g"), "v", "n")
+    keyed = counts.where(F.col(value).isNotNull() & ~F.isnan(value)).select(F.struct(*map(K.col, group)).alias("_g"), F.col(value).alias("v"), "n")
     slices = _slices(keyed, [F.col("_g").asc(), F.col("v").asc()])
     sums = slices.groupBy("_slice", "_g").agg(F.sum("n").alias("_sum"))
     in_group = Window.partitionBy("_g").orderBy("_slice")

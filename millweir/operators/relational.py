@@ -11,12 +11,10 @@ from pyspark.sql import types as T
 
 from millweir.functions import kernels as K
 from millweir.functions.conditions import StepError, combine, need
-from millweir.operators.ordering import ascending, carry, exact_quantiles, order_names, rank_key, running
+from millweir.operators.ordering import ascending, carry, exact_quantiles, group_quantiles, in_blocks, order_names, rank_key, ranks, running
 from millweir.operators.registry import ROW_ID, Context, step
 from millweir.operators.scalar import cast, is_text, out, snake
-
-#: Canonical lists that steps join to may be broadcast up to so many rows, counted first.
-BROADCAST_ROWS = 1_000_000
+from millweir.skew import spread_join
 
 
 def number(df: DataFrame, name: str) -> Column:
@@ -28,11 +26,6 @@ def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one_row))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df marked for broadcasting if a count shows that it is small; otherwise left to the planner."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def most_frequent(df: DataFrame, groups: list[str], value: Column, alias: str) -> DataFrame:
     """The most frequent value of each group, the least one of those as frequent. Counts are combined map-side."""
     counts = df.select(*map(K.col, groups), value.alias("_v")).where("_v is not null").groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_n"))
@@ -154,9 +147,9 @@ def smart_impute(df, p, ctx):
 
 
 def null_safe_join(df: DataFrame, other: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join on keys of which nulls match; other's keys are dropped."""
+    """Join on keys of which nulls match; other's keys are dropped. One key, null as well, may hold a large share of df."""
     right = other.select(*[K.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[K.col(c) for c in other.columns if c not in keys])
-    return df.join(right, K.all_of([K.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]), how).drop(*[f"_k{i}" for i in range(len(keys))])
+    return spread_join(df, right, [(K.col(k), F.col(f"_k{i}")) for i, k in enumerate(keys)], how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 # ---- duplicates
@@ -330,8 +323,11 @@ def join(df, p, ctx):
     if p["how"] == "cross":
         joined = left.crossJoin(renamed)
     else:
-        same = K.all_of([K.strip(need(left, a)) == K.strip(F.col(at[b])) for a, b in zip(left_on, right_on, strict=True)])
-        joined = left.join(renamed, same, HOW[p["how"]])
+        on = [(K.strip(need(left, a)), K.strip(F.col(at[b]))) for a, b in zip(left_on, right_on, strict=True)]
+        if p["how"] in ("right", "full"):
+            joined = left.join(renamed, K.all_of([a == b for a, b in on]), HOW[p["how"]])
+        else:
+            joined = spread_join(left, renamed, on, HOW[p["how"]], nulls_match=False)
     if p["how"] in ("semi", "anti"):
         return joined
     keep_keys = p["how"] in ("right", "full")
@@ -347,8 +343,8 @@ def _lookup(df: DataFrame, p: dict, ctx: Context, make_key, suffix: str, how: st
     names = [c for c in right.columns if c != ROW_ID and c != p["right_on"] and (not columns or c in columns)]
     # one row a key: the first in row order, else the least
     order = [ROW_ID] if ROW_ID in right.columns else [c for c in ctx.order if c in right.columns] or right.columns
-    first = right.withColumn("_key", make_key(key)).where("_key is not null").groupBy("_key").agg(F.min_by(F.struct(F.lit(True).alias("_there"), *map(K.col, names)), rank_key(order)).alias("_row"))
-    joined = df.withColumn("_key", make_key(need(df, p.get("left_on") or p.get("column")))).join(small(first), "_key", how)
+    first = right.withColumn("_key2", make_key(key)).where("_key2 is not null").groupBy("_key2").agg(F.min_by(F.struct(F.lit(True).alias("_there"), *map(K.col, names)), rank_key(order)).alias("_row"))
+    joined = spread_join(df.withColumn("_key", make_key(need(df, p.get("left_on") or p.get("column")))), first, [(F.col("_key"), F.col("_key2"))], how, nulls_match=False)
     added = [F.col("_row").getField(c).alias(f"{c}{suffix}" if c in df.columns else c) for c in names]
     flags = [F.col("_row").isNotNull().alias(flag)] if flag else []
     return joined.select(*map(K.col, df.columns), *added, *flags)
@@ -418,23 +414,41 @@ def aggregate_of(df: DataFrame, spec: dict, ctx: Context) -> Column:
     if fn in ("first", "last"):
         return (F.min_by if fn == "first" else F.max_by)(c, rank_key(order_names(df, ctx))).alias(alias)
     v = c if fn in ("min", "max") and isinstance(df.schema[name].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) else number(df, name) if is_text(df, name) else c
-    simple = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "median": F.median, "std": F.stddev_samp}
+    simple = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp}
     if fn in simple:
         return simple[fn](v).alias(alias)
-    if fn[:1] == "p" and fn[1:].isdigit():
-        return F.call_function("percentile", v.cast("double"), F.lit(int(fn[1:]) / 100)).alias(alias)
     raise StepError(f"there is no calculation {fn!r}")
 
 
+def _quantile(fn: str) -> float | None:
+    """Which quantile a calculation is: median or p followed by per cent."""
+    return 0.5 if fn == "median" else int(fn[1:]) / 100 if fn[:1] == "p" and fn[1:].isdigit() else None
+
+
 @step("aggregate", "aggregate", "group_by:columns aggregations*:aggregations", flags="R")
 def aggregate(df, p, ctx):
-    aggs = [aggregate_of(df, a, ctx) for a in p["aggregations"]]
-    return df.groupBy(*map(K.col, p["group_by"])).agg(*aggs) if p.get("group_by") else df.agg(*aggs)
+    """Medians and percentiles come from ranks over counts of (group, value), so no task keeps a group's values; NaN has no rank."""
+    groups, specs = p.get("group_by") or [], p["aggregations"]
+    names = [a.get("alias") or (f"{a.get('fn', 'count')}_{a['column']}" if a.get("column") else a.get("fn", "count")) for a in specs]
+    ranked: dict[str, dict[str, float]] = {}
+    for a, name in zip(specs, names, strict=True):
+        if (q := _quantile(a.get("fn", "count"))) is not None and a.get("column"):
+            ranked.setdefault(a["column"], {})[name] = q
+    plain = [aggregate_of(df, a, ctx) for a in specs if _quantile(a.get("fn", "count")) is None or not a.get("column")] or [F.count(F.lit(1)).alias("_n")]
+    made = df.groupBy(*map(K.col, groups)).agg(*plain) if groups else df.agg(*plain)
+    for c, at in ranked.items():
+        need(df, c)
+        if groups:
+            counts = df.select(*map(K.col, groups), number(df, c).cast("double").alias("_v")).where("_v is not null").groupBy(*map(K.col, groups), "_v").agg(F.count(F.lit(1)).alias("n"))
+            made = null_safe_join(made, group_quantiles(counts, groups, at, "_v"), groups)
+        else:
+            made = beside(made, exact_quantiles(df, number(df, c), at))
+    return made.select(*map(K.col, groups), *map(K.col, names))
 
 
 @step("window", "aggregate", "partition_by:columns order_by:column fn:row_number|rank|dense_rank|running_sum|running_avg|moving_avg|lag|lead|pct_of_total=row_number column:column window_size:number=3 output:text order_kind:text")
 def window(df, p, ctx):
-    """Nine window functions. Without a partition, sums and row numbers run in two phases; order_kind hints what ordered text holds."""
+    """Nine window functions. Without a partition they run in phases, so that no task holds the table (ordering.py); order_kind hints what ordered text holds."""
     fn, parts, name = p["fn"], list(map(K.col, p.get("partition_by") or [])), p.get("column")
     v = number(df, name) if name else None
     if name is None and fn not in ("row_number", "rank", "dense_rank"):
@@ -458,6 +472,13 @@ def window(df, p, ctx):
         if fn == "running_avg":
             summed = running(summed, ordered, F.lit(1).cast("long"), "_rn").withColumn(alias, F.col(alias) / F.col("_rn")).drop("_rn")
         return summed.withColumn(alias, F.when(v.isNotNull(), F.col(alias))).drop("_ord")
+    if not parts and fn in ("rank", "dense_rank"):
+        key = F.col("_ord") if p.get("order_by") else v
+        return ranks(base.withColumn("_key", key), "_key", alias, dense=fn == "dense_rank").drop("_key", "_ord")
+    if not parts:
+        size, value = int(p["window_size"]), v if fn == "moving_avg" else K.col(name)
+        made, before, after = {"moving_avg": (lambda w: F.avg(value).over(w.rowsBetween(1 - size, 0)), size - 1, 0), "lag": (lambda w: F.lag(value).over(w), 1, 0), "lead": (lambda w: F.lead(value).over(w), 0, 1)}[fn]
+        return in_blocks(base, ordered, made, before, after, alias).drop("_ord")
     w = Window.partitionBy(*parts)
     if fn in ("rank", "dense_rank"):
         key = F.col("_ord") if p.get("order_by") else v

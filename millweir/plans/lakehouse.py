@@ -12,6 +12,7 @@ from millweir.operators.registry import ROW_ID
 from millweir.plans.pipeline import Pipeline
 from millweir.plans.quality import Rule, enforce, evaluate, results, split, stamp
 from millweir.session import materialize
+from millweir.skew import spread_join
 from millweir.sources.writers import Target, write
 
 #: Columns that bronze adds.
@@ -35,7 +36,7 @@ def entity_360(base: DataFrame, key: str, related: dict[str, tuple[DataFrame, st
     """Base rows with the number of rows of each related table by its key; 0 where there are none."""
     for name, (df, fk) in related.items():
         counts = df.groupBy(K.strip(K.col(fk)).alias("_k")).agg(F.count(F.lit(1)).alias(f"{name}_count"))
-        base = base.join(counts, K.strip(K.col(key)) == F.col("_k"), "left").drop("_k").withColumn(f"{name}_count", F.coalesce(f"{name}_count", F.lit(0)))
+        base = spread_join(base, counts, [(K.strip(K.col(key)), F.col("_k"))], nulls_match=False).drop("_k").withColumn(f"{name}_count", F.coalesce(f"{name}_count", F.lit(0)))
     return base
 
 

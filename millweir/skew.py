@@ -7,10 +7,14 @@ which has one row a key, is repeated once for each salt of its key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICES = 64
+#: Tables that the planner takes for smaller are joined as they are: their hot keys fit a task.
+LEAST_BYTES = 256 << 20
 #: A key with fewer rows is left alone whatever its share: any task can hold that many.
 LEAST_ROWS = 10_000
 
@@ -50,3 +54,26 @@ def salted_join(rows: DataFrame, keyed: DataFrame, key: str, spread: Column, how
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), salts_of(F.col(key), hot).cast("long")).cast("int"))
     right = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts_of(F.col(key), hot) - 1)))
     return left.join(right.hint(hint) if hint else right, [key, "_salt"], how).drop("_salt")
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread_join(rows: DataFrame, other: DataFrame, on: list[tuple[Column, Column]], how: str = "left", nulls_match: bool = True) -> DataFrame:
+    """rows join other on pairs of columns, where one key of rows, null as well, may hold a third of them.
+
+    how: inner, left, left_semi or left_anti. The sides have no column names in common. Hot keys are found by a count of the keys'
+    hashes; their rows are dealt over salts, for each of which other's rows are repeated. Beyond hot keys the planner decides.
+    """
+    same = reduce(lambda a, b: a & b, [a.eqNullSafe(b) if nulls_match else a == b for a, b in on])
+    if _estimated_bytes(rows) < LEAST_BYTES:
+        return rows.join(other, same, how)
+    left = rows.withColumn("_hash", F.xxhash64(*[a for a, _ in on]))
+    hot = hot_keys(left, "_hash")
+    if not hot:
+        return rows.join(other, same, how)
+    left = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id() + F.col("_hash") % SLICES, salts_of(F.col("_hash"), hot).cast("long")).cast("int"))
+    right = other.withColumn("_hash2", F.xxhash64(*[b for _, b in on]))
+    right = right.withColumn("_salt2", F.explode(F.sequence(F.lit(0), salts_of(F.col("_hash2"), hot) - 1)))
+    return left.join(right, (F.col("_hash") == F.col("_hash2")) & (F.col("_salt") == F.col("_salt2")) & same, how).drop("_hash", "_salt", "_hash2", "_salt2")
