@@ -185,7 +185,7 @@ def sizes(df: DataFrame, row_id: str, text: str, keep: str, name: str = "byte_bp
         for batch in batches:
             texts = batch.column(2).to_pylist()
             signs = [None if t is None else hashlib.sha256(t.encode()).digest() for t in texts]
-            counts = [sum(len(enc.encode_ordinary(p)) for p in cut(t, folder)) if t else 0 for t in texts]
+            counts = [len(enc.encode_ordinary(t)) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(signs, pa.binary()), pa.array(counts, pa.int64())], ["id", "keep", "sign", "n_tokens"])
 
     return rows.mapInArrow(run, f"id {kinds['id']}, keep {kinds['keep']}, sign binary, n_tokens long").toDF(row_id, keep, "sign", "n_tokens")
