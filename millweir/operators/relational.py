@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 
 from millweir.functions import kernels as K
 from millweir.functions.conditions import StepError, combine, need
+from millweir.operators.graph import components
 from millweir.operators.ordering import ascending, carry, exact_quantiles, group_quantiles, in_blocks, order_names, rank_key, ranks, running
 from millweir.operators.registry import ROW_ID, Context, step
 from millweir.operators.scalar import cast, is_text, out, snake
+from millweir.session import materialize
 from millweir.skew import spread_join
 
 
@@ -190,44 +192,70 @@ def remove_duplicates(df, p, ctx):
     return df.groupBy(*map(K.col, keys)).agg(best.alias("_row")).select(*[K.col(c) if c in keys else F.col("_row").getField(c).alias(c) for c in df.columns])
 
 
-def _similar(threshold: float):  # noqa: ANN202
-    def run(rows):  # noqa: ANN001, ANN202 - pandas is loaded in the workers
-        rows = rows.sort_values("_place", kind="stable")
-        heads: list[str] = []
-        label = []
-        for value in rows["_text"]:
-            matcher = difflib.SequenceMatcher(None, "", value, autojunk=False)
-            found = None
-            for i in range(len(heads) - 1, max(-1, len(heads) - 201), -1):
-                matcher.set_seq1(heads[i])
+def _pieces(text: Column, threshold: float) -> Column:
+    """Pieces of a text of which two similar texts share one, whatever their lengths.
+
+    A ratio of 2 M / (n + m) of at least t leaves at most k = (1 - t) (n + m) letters of both unmatched. Of k + 1 pieces of the shorter
+    text one is untouched, and it moves by k places at most. Texts stand under the pieces of each length that a partner may have.
+    """
+    n = F.length(text)
+    least, most = F.ceil(n * threshold / (2 - threshold)), F.floor(n * (2 - threshold) / threshold)
+
+    def of_length(m: Column) -> Column:
+        # m: the shorter length of a pair; this text is one of m letters, or a longer one that looks for it
+        k = F.floor((1 - threshold) * (m + F.floor(m * (2 - threshold) / threshold))).cast("int")
+
+        def piece(i: Column) -> Column:
+            start, end = F.floor(m * i / (k + 1)).cast("int"), F.floor(m * (i + 1) / (k + 1)).cast("int")
+            shifts = F.when(m == n, F.array(F.lit(0))).otherwise(F.sequence(-k, k))
+            at = F.filter(F.transform(shifts, lambda d: start + d), lambda x: (x >= 0) & (x <= n - (end - start)))
+            # texts of the same length look for each other at shifts as well
+            at = F.when(m == n, F.filter(F.sequence(start - k, start + k), lambda x: (x >= 0) & (x <= n - (end - start)))).otherwise(at)
+            return F.transform(at, lambda x: F.xxhash64(m, i, F.substring(text, x + 1, end - start)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), k), piece))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(F.lit(0), least).cast("int"), n), of_length)))
+
+
+def _ratios(threshold: float):  # noqa: ANN202
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        for batch in batches:
+            kept, matcher, last = [], difflib.SequenceMatcher(None, "", "", autojunk=False), None
+            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if b != last:
+                    matcher.set_seq2(b)
+                    last = b
+                matcher.set_seq1(a)
                 if matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold and matcher.ratio() >= threshold:
-                    found = i
-                    break
-            if found is None:
-                heads.append(value)
-                found = len(heads) - 1
-            label.append(found)
-        rows["_head"] = [heads[i] for i in label]
-        return rows[["_text", "_head"]]
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
 
     return run
 
 
 @step("fuzzy_duplicates", "duplicates", "columns*:columns threshold:number=90 action:flag|remove=flag", flags="R")
 def fuzzy_duplicates(df, p, ctx):
-    """Rows whose folded, sorted words are alike, within blocks of the same first two letters, compared with the latest representatives.
+    """Rows whose folded, sorted words are alike, with the same first two letters; what is like a like text is in one group.
 
-    Only distinct texts are compared, so equal rows need no comparison and a block holds spellings, not rows.
+    Only distinct texts are compared, and of those only texts that share a piece which likeness can't do without, so no link is lost
+    and no task holds a block. A group's head is its first text in row order.
     """
-    names = order_names(df, ctx)
-    joined = K.name_key(F.concat_ws(" ", *[K.text(K.col(c)) for c in p["columns"]]))
-    rows = df.withColumn("_text", joined)
+    names, threshold = order_names(df, ctx), min(1.0, max(0.01, float(p["threshold"]) / 100))
+    rows = df.withColumn("_text", K.name_key(F.concat_ws(" ", *[K.text(K.col(c)) for c in p["columns"]])))
     spelt = rows.groupBy("_text").agg(F.min(rank_key(names)).alias("_order"), F.count(F.lit(1)).alias("_n"))
-    # the order within a block as text that sorts the same is not needed: rank by the struct inside the block
-    placed = spelt.withColumn("_block", F.left("_text", F.lit(2))).withColumn("_place", F.row_number().over(Window.partitionBy("_block").orderBy("_order")))
-    heads = placed.select("_block", "_text", "_place").groupBy("_block").applyInPandas(_similar(float(p["threshold"]) / 100), "_text string, _head string")
-    sizes = heads.join(spelt.select("_text", "_n"), "_text").groupBy("_head").agg(F.sum("_n").alias("_size"))
-    full = rows.join(heads, "_text").join(sizes, "_head")
+    block = F.left("_text", F.lit(2))
+    parts = materialize(spelt.select("_text", F.length("_text").alias("_length"), F.explode(_pieces(F.col("_text"), threshold)).alias("_piece"), block.alias("_block")), "pieces")
+    a, b = parts.select("_block", "_piece", F.col("_text").alias("a"), F.col("_length").alias("n")), parts.select("_block", "_piece", F.col("_text").alias("b"), F.col("_length").alias("m"))
+    met = a.join(b, ["_block", "_piece"]).where((F.col("a") < F.col("b")) & (2 * F.least("n", "m") >= threshold * (F.col("n") + F.col("m")))).select("a", "b").distinct()
+    links = met.mapInArrow(_ratios(threshold), "a string, b string")
+    comps = components(links).toDF("_text", "_comp")
+    placed = spelt.join(comps, "_text", "left").withColumn("_comp", F.coalesce("_comp", "_text"))
+    heads = placed.groupBy("_comp").agg(F.min_by("_text", "_order").alias("_head"), F.sum("_n").alias("_size"))
+    of_text = placed.select(F.col("_text").alias("_text2"), "_comp").join(heads, "_comp").drop("_comp")
+    full = spread_join(rows, of_text, [(F.col("_text"), F.col("_text2"))], "inner")
     if p["action"] == "flag":
         group = F.concat(F.left(F.col("_head"), F.lit(2)), F.lit("-"), F.left(F.sha2("_head", 256), F.lit(12)))
         return full.withColumn("similar_group", group).withColumn("has_similar", F.col("_size") > 1).select(*df.columns, "similar_group", "has_similar")

@@ -187,7 +187,7 @@ def split_column(df, p, ctx):
         widest = df.agg(F.max(F.size(parts)).alias("n")).first().n or 1
         names = [f"{name}_{i + 1}" for i in range(min(max(widest, 1), 6))]
     last = len(names) - 1
-    piece = lambda i: F.get(parts, F.lit(i)) if i < last else F.when(F.size(parts) > i, F.array_join(F.slice(parts, i + 1, 1_000_000), d))
+    piece = lambda i: F.get(parts, F.lit(i)) if i < last else F.when(F.size(parts) > i, F.array_join(F.slice(parts, F.lit(i + 1), F.size(parts)), d))
     full = df.withColumns({n: F.nullif(K.strip(piece(i)), F.lit("")) for i, n in enumerate(names)})
     return full if p["keep_original"] or name in names else full.drop(name)
 
@@ -408,7 +408,7 @@ def encrypt(df, p, ctx):
 
 
 def decrypt(c: Column, key: bytes) -> Column:
-    return F.aes_decrypt(F.unbase64(F.substring(c, 5, 100_000_000)), F.lit(hashlib.sha256(key).digest()), F.lit("GCM")).cast("string")
+    return F.aes_decrypt(F.unbase64(c.substr(F.lit(5), F.length(c))), F.lit(hashlib.sha256(key).digest()), F.lit("GCM")).cast("string")
 
 
 @step("restrict", "pii", "columns*:columns", flags="D", stream=True)

@@ -1,7 +1,7 @@
-"""Statistics of runs: robust z-scores against a run's own history, anomalies, summaries and daily trends.
+"""Statistics of runs: robust z-scores against a run's own history, anomalies of runs and rules, summaries and daily trends.
 
 Runs are rows (pipeline, run_id, started_at, status, records, quality, duration, cost, schema_hash, failed). A pipeline's windows hold its
-own last HISTORY runs, so their size does not grow with the number of runs or pipelines.
+own last HISTORY runs, or the last SAME_HOUR at its hour of day where there are enough, so their size does not grow with the number of runs or pipelines.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HISTORY, LEAST = 48, 5
+HISTORY, SAME_HOUR, LEAST = 48, 14, 5
 
 
 def typical(rows: DataFrame, keys: list[str], past: str) -> DataFrame:
@@ -30,11 +30,31 @@ def robust_z(value: Column, middle: Column, spread: Column) -> Column:
 CHECKS = [("volume_drop", "records", 3.0, -1, 0.2), ("volume_rise", "records", 3.0, 1, 0.2), ("quality", "quality", 3.0, -1, None), ("duration", "duration", 3.5, 1, 0.6), ("cost", "cost", 4.0, 1, 0.8)]
 
 
+def _past(measure: str) -> Column:
+    """The values of a measure in the runs that a run is compared with: volumes follow a daily rhythm."""
+    order, value = ("started_at", "run_id"), F.col(measure).cast("double")
+    before = F.collect_list(value).over(Window.partitionBy("pipeline").orderBy(*order).rowsBetween(-HISTORY, -1))
+    same_hour = F.collect_list(value).over(Window.partitionBy("pipeline", F.hour("started_at")).orderBy(*order).rowsBetween(-SAME_HOUR, -1))
+    return F.when(F.size(same_hour) >= LEAST, same_hour).otherwise(before)
+
+
+def rule_anomalies(results: DataFrame) -> DataFrame:
+    """(pipeline, run_id, rule_id, failed, typical, z) of each red rule that fails far more rows than in the runs before.
+
+    results: a row a run and rule: pipeline, run_id, started_at, rule_id, failed, rag.
+    """
+    past = Window.partitionBy("pipeline", "rule_id").orderBy("started_at", "run_id").rowsBetween(-HISTORY, -1)
+    value = F.col("failed").cast("double")
+    red = results.select("pipeline", "run_id", "rule_id", "rag", value.alias("failed"), F.collect_list(value).over(past).alias("past")).where((F.col("rag") == "red") & (F.size("past") >= LEAST))
+    seen = typical(red, ["pipeline", "run_id", "rule_id", "failed"], "past")
+    z = robust_z(F.col("failed"), F.col("typical"), F.col("spread"))
+    return seen.where((z > 3.0) & (F.col("failed") > F.col("typical") * 1.5)).select("pipeline", "run_id", "rule_id", "failed", "typical", F.round(z, 3).alias("z"))
+
+
 def anomalies(runs: DataFrame) -> DataFrame:
     """(pipeline, run_id, kind, value, typical, z) of each succeeded run that departs from the succeeded runs before it, and schema changes."""
     good = runs.where("status = 'succeeded'")
-    past = Window.partitionBy("pipeline").orderBy("started_at", "run_id").rowsBetween(-HISTORY, -1)
-    wide = good.select("pipeline", "run_id", *[F.struct(F.col(m).cast("double").alias("value"), F.collect_list(F.col(m).cast("double")).over(past).alias("past")).alias(m) for m in ("records", "quality", "duration", "cost")])
+    wide = good.select("pipeline", "run_id", *[F.struct(F.col(m).cast("double").alias("value"), _past(m).alias("past")).alias(m) for m in ("records", "quality", "duration", "cost")])
     each = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"{m}.value").alias("value"), F.col(f"{m}.past").alias("past")) for m in ("records", "quality", "duration", "cost")])
     long = wide.select("pipeline", "run_id", F.inline(each)).where(F.size("past") >= LEAST)
     seen = typical(long, ["pipeline", "run_id", "measure", "value"], "past")

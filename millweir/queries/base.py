@@ -14,6 +14,14 @@ TODAY = datetime.date(2024, 6, 30)
 _PAD = "lpad(cast(c_custkey % 10000 as varchar(10)), 4, '0')"
 _Y, _M, _D = "cast(2000 + c_custkey % 20 as varchar(4))", "lpad(cast(1 + c_custkey % 12 as varchar(2)), 2, '0')", "lpad(cast(1 + c_custkey % 28 as varchar(2)), 2, '0')"
 
+_MONTH = "case 1 + c_custkey % 12 " + " ".join(f"when {i} then '{m}'" for i, m in enumerate(["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"], 1)) + " end"
+_SHORT, _T = f"substr({_MONTH}, 1, 3)", "'12:30"
+#: A day in each of the formats that are read; a month above 12 tells d/M from M/d.
+_WRITTEN = [
+    [_Y, "'-'", _M, "'-'", _D], [_M, "'/'", _D, "'/'", _Y], [_D, "' '", _SHORT, "' '", _Y], [_Y, "'/'", _M, "'/'", _D], [_D, "'-'", _M, "'-'", _Y], [_SHORT, "' '", _D, "', '", _Y], ["'28/'", _M, "'/'", _Y], [_Y, _M, _D], [_D, "'.'", _M, "'.'", _Y],
+    [_MONTH, "' '", _D, "', '", _Y], [_D, "' '", _MONTH, "' '", _Y], [_Y, "'-'", _M, "'-'", _D, f"'T{_T[1:]}:00'"], [_Y, "'-'", _M, "'-'", _D, f"' {_T[1:]}:00'"], [_Y, "'-'", _M, "'-'", _D, f"'T{_T[1:]}:00.125'"], [_Y, "'-'", _M, "'-'", _D, f"'T{_T[1:]}:00Z'"], [_Y, "'-'", _M, "'-'", _D, f"'T{_T[1:]}:00.25Z'"], [_M, "'/'", _D, "'/'", _Y, f"' {_T[1:]}'"],
+]
+
 VIEWS = {
     "cust": ("customer", {
         "id": "c_custkey",
@@ -31,6 +39,19 @@ VIEWS = {
     }),
     "ord": ("orders", {"okey": "o_orderkey", "custkey": "case when o_orderkey % 17 = 0 then o_custkey + 1000000 else o_custkey end", "status": "o_orderstatus", "price": "o_totalprice", "odate": "cast(o_orderdate as date)", "prio": "o_orderpriority"}),
     "dup": ("customer", {"k": "c_custkey % 300", "v": "c_custkey", "seg": "c_mktsegment", "txt": "case when c_custkey % 4 = 0 then null else concat('v', cast(c_custkey % 7 as varchar(3))) end", "d": "case when c_custkey % 10 = 9 then null else concat('2020-01-', lpad(cast(1 + c_custkey % 28 as varchar(2)), 2, '0')) end"}),
+    # values that only a rule of their own makes alike: near texts, wide letters, every date format, typed numbers
+    "odd": ("customer", {
+        "id": "c_custkey",
+        "near": "case when c_custkey % 3 = 0 then md5(cast(c_custkey % 40 as varchar(4))) when c_custkey % 3 = 1 then concat(substr(md5(cast(c_custkey % 40 as varchar(4))), 1, 20), 'q', substr(md5(cast(c_custkey % 40 as varchar(4))), 21)) else concat(' ', upper(md5(cast(c_custkey % 40 as varchar(4)))), '!') end",
+        "wide": "concat('Ａｂ', cast(c_custkey % 9 as varchar(2)), 'ﬁ  ½')",
+        "item": "case when c_custkey % 4 = 0 then null when c_custkey % 4 = 1 then concat('ITEM-', cast(c_nationkey as varchar(4)), '  Élan') else concat('élan, item ', cast(c_nationkey as varchar(4))) end",
+        "share": "case when c_custkey % 4 = 0 then concat(cast(c_custkey % 100 as varchar(4)), '%') when c_custkey % 4 = 1 then concat('0.', lpad(cast(c_custkey % 100 as varchar(4)), 2, '0')) when c_custkey % 4 = 2 then cast(c_custkey % 100 + 2 as varchar(4)) else 'none' end",
+        "stamp": f"case when c_custkey % 3 = 0 then concat({_Y}, '-', {_M}, '-', {_D}, ' 07:08:09') when c_custkey % 3 = 1 then concat({_Y}, '-', {_M}, '-', {_D}, 'T07:08:09Z') else 'later' end",
+        "day": "case " + " ".join(f"when c_custkey % 19 = {i} then concat({', '.join(parts)})" for i, parts in enumerate(_WRITTEN)) + " else 'no day' end",
+        "made": f"cast(concat({_Y}, '-', {_M}, '-', {_D}) as date)",
+    }),
+    "item": ("nation", {"label": "concat('Item ', cast(n_nationkey as varchar(4)), ' élan')", "nname": "n_name"}),
+    "half": ("nation", {"nkey": "cast(n_nationkey as double) + 0.5", "nname": "n_name", "region": "cast(n_regionkey as varchar(4))"}),
     "nat": ("nation", {"nkey": "n_nationkey", "nname": "n_name", "region": "n_regionkey"}),
 }
 

@@ -96,7 +96,7 @@ def _profile_sql() -> str:
         shown = f"nullif({s}, '')"
         v = f"case when {shown} is not null then {NUM(c) if text else c} end"
         return f"""select '{c}' as "column", count(*) as n_rows, count(*) - count({shown}) as null_count, count(distinct {shown}) as distinct_count, {f'max(length({shown}))' if text else 'null'} as max_length,
-          round(count({v}) / nullif(cast(count({shown}) as double), 0), 4) as numeric_ratio, min({v}) as "min", max({v}) as "max", round(avg({v}), 3) as "mean", median({v}) as "median", round(stddev_samp({v}), 3) as "std",
+          round(count({v}) / nullif(cast(count({shown}) as double), 0), 4) as numeric_ratio, min({v}) as "min", max({v}) as "max", round(avg({v}), 3) as "mean", median({v}) as "median", round(stddev_samp({v}) / nullif(abs(avg({v})), 0), 6) as "std",
           quantile_cont({v}, 0.25) as p25, quantile_cont({v}, 0.75) as p75, count(*) filter (where {v} < 0) as negatives from cust"""
 
     return " union all ".join(one(c, c not in _NUMBERS) for c in _PROFILED)
@@ -105,7 +105,7 @@ def _profile_sql() -> str:
 @add("profile_columns", _profile_sql())
 def profile_columns(spark: SparkSession, d: str) -> DataFrame:
     m = profiling.measures(view(spark, d, "cust").select(*_PROFILED))
-    return m.select("column", F.col("rows").alias("n_rows"), "null_count", "distinct_count", F.when(~F.col("column").isin(*_NUMBERS), F.col("max_length")).alias("max_length"), F.round("numeric_ratio", 4).alias("numeric_ratio"), "min", "max", F.round("mean", 3).alias("mean"), "median", F.round("std", 3).alias("std"), "p25", "p75", "negatives")
+    return m.select("column", F.col("rows").alias("n_rows"), "null_count", "distinct_count", F.when(~F.col("column").isin(*_NUMBERS), F.col("max_length")).alias("max_length"), F.round("numeric_ratio", 4).alias("numeric_ratio"), "min", "max", F.round("mean", 3).alias("mean"), "median", F.round(F.try_divide("std", F.abs("mean")), 6).alias("std"), "p25", "p75", "negatives")
 
 
 @add("profile_years", f"with y as (select year({DATE('joined')}) as y from cust) select 'joined' as \"column\", cast(y as integer) as \"year\", count(*) as n from y where y is not null group by 2")
@@ -147,6 +147,20 @@ def foreign_key(spark: SparkSession, d: str) -> DataFrame:
     return profiling.containment(view(spark, d, "ord"), "custkey", view(spark, d, "cust"), "id")
 
 
+@add("profile_meanings", "select * from (values ('id', 'identifier'), ('email', 'email'), ('phone', 'phone'), ('country', 'country'), ('segment', 'category'), ('bal', 'decimal'), ('code', 'identifier')) as t(\"column\", meaning)")
+def profile_meanings(spark: SparkSession, d: str) -> DataFrame:
+    """What the columns of a view mean; a row a column."""
+    measured = profiling.measures(view(spark, d, "cust").select("id", "email", "phone", "country", "segment", "bal", "code"))
+    return spark.createDataFrame([(r["column"], profiling.meaning(r.asDict())) for r in measured.collect()], "`column` string, meaning string")
+
+
+@add("foreign_keys_found", "select 'ord' as from_dataset, 'custkey' as from_column, 'cust' as to_dataset, 'id' as to_column, round(count(distinct case when c_custkey is not null then custkey end) / cast(count(distinct custkey) as double) * 100, 1) as match_pct, count(*) filter (where c_custkey is null) as orphan_rows from ord left join customer on custkey = c_custkey")
+def foreign_keys_found(spark: SparkSession, d: str) -> DataFrame:
+    """custkey is no name of cust's key, so it is found as the parent's name with key at its end."""
+    found = profiling.relationships({"cust": view(spark, d, "cust").select("id", "segment"), "ord": view(spark, d, "ord").select("okey", "custkey")}, {"cust": "id"})
+    return spark.createDataFrame([tuple(r[c] for c in ("from_dataset", "from_column", "to_dataset", "to_column", "match_pct", "orphan_rows")) for r in found], "from_dataset string, from_column string, to_dataset string, to_column string, match_pct double, orphan_rows long")
+
+
 _DOCUMENT = {
     "datasets": {"cust": {}, "ord": {}},
     "steps": [
@@ -204,21 +218,42 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
 _RUNS = "select prio as pipeline, odate as started_at, count(*) as records, avg(price) as quality, sum(price) as cost, max(okey) as run_id, case when max(okey) % 11 = 0 then 'failed' else 'succeeded' end as status, max(okey) % 3 as failed from ord group by 1, 2"
 
 
-@add("run_summary", f"with r as ({_RUNS}) select pipeline, count(*) as runs, round(avg(case when status = 'succeeded' then 100.0 else 0 end), 1) as success_rate, sum(records) as records, sum(failed) as failed, max(case when status = 'succeeded' then started_at end) as last_success from r group by 1")
+@add("run_summary", f"with r as ({_RUNS}) select pipeline, count(*) as runs, round(avg(case when status = 'succeeded' then 100.0 else 0 end), 1) as success_rate, sum(records) as records, sum(failed) as failed, round(avg(case when status = 'succeeded' then quality end), 2) as quality, max(case when status = 'succeeded' then started_at end) as last_success from r group by 1")
 def run_summary(spark: SparkSession, d: str) -> DataFrame:
-    return monitor.summary(_runs(spark, d)).drop("quality")
+    return monitor.summary(_runs(spark, d))
 
 
-_PAST = f"""with r as ({_RUNS}), g as (select *, row_number() over (partition by pipeline order by started_at, run_id) as k from r where status = 'succeeded'),
-  h as (select a.pipeline, a.run_id, a.records, b.records as past from g a join g b on a.pipeline = b.pipeline and b.k between a.k - 48 and a.k - 1),
-  m as (select pipeline, run_id, records, median(past) as med, count(*) as n from h group by 1, 2, 3), s as (select h.pipeline, h.run_id, median(abs(past - med)) as mad from h join m on h.pipeline = m.pipeline and h.run_id = m.run_id group by 1, 2)
-  select m.pipeline, m.run_id, case when records > med then 'volume_rise' else 'volume_drop' end as kind, round((records - med) / (1.4826 * case when mad > 0 then mad when abs(med) > 0 then abs(med) * 0.05 else 1 end), 3) as z
-  from m join s on m.pipeline = s.pipeline and m.run_id = s.run_id where n >= 5 and abs(records - med) > abs(med) * 0.2 and abs((records - med) / (1.4826 * case when mad > 0 then mad when abs(med) > 0 then abs(med) * 0.05 else 1 end)) > 3"""
+@add("run_trends", f"with r as ({_RUNS}) select pipeline, cast(started_at as date) as \"day\", count(*) as runs, sum(records) as records, avg(floor(quality)) as quality from r group by 1, 2")
+def run_trends(spark: SparkSession, d: str) -> DataFrame:
+    return monitor.trends(_runs(spark, d).withColumn("quality", F.floor("quality")))
 
 
-@add("run_anomalies", _PAST)
+def _anomalies_sql() -> str:
+    """Each measure against the 14 runs at the same hour before it (all of these runs start at midnight)."""
+    unit = "1.4826 * case when mad > 0 then mad when abs(med) > 0 then abs(med) * 0.05 else 1 end"
+    checks = " union all ".join(
+        f"select pipeline, run_id, '{kind}' as kind, round((value - med) / ({unit}), 3) as z from z where measure = '{m}' and {sign} * (value - med) / ({unit}) > {least} and {sign} * (value - med) > {f'abs(med) * {change}' if change is not None else '3'}"
+        for kind, m, least, sign, change in monitor.CHECKS
+    )
+    measures = " union all ".join(f"select pipeline, run_id, k, '{m}' as measure, cast({m} as double) as value from g" for m in ("records", "quality", "duration", "cost"))
+    return f"""with r as ({_RUNS}), g as (select *, cast(records as double) as duration, row_number() over (partition by pipeline order by started_at, run_id) as k from r where status = 'succeeded'), v as ({measures}),
+      h as (select a.pipeline, a.run_id, a.measure, a.value, b.value as past from v a join v b on a.pipeline = b.pipeline and a.measure = b.measure and b.k between a.k - case when a.k > 5 then 14 else 48 end and a.k - 1),
+      m as (select pipeline, run_id, measure, value, median(past) as med, count(*) as n from h group by all), z as (select m.*, s.mad from m join (select h.pipeline, h.run_id, h.measure, median(abs(past - med)) as mad from h join m on h.pipeline = m.pipeline and h.run_id = m.run_id and h.measure = m.measure group by all) s
+        on m.pipeline = s.pipeline and m.run_id = s.run_id and m.measure = s.measure where n >= 5) {checks}"""
+
+
+@add("run_anomalies", _anomalies_sql())
 def run_anomalies(spark: SparkSession, d: str) -> DataFrame:
-    return monitor.anomalies(_runs(spark, d)).where("kind like 'volume%'").select("pipeline", "run_id", "kind", "z")
+    return monitor.anomalies(_runs(spark, d)).where("kind <> 'schema'").select("pipeline", "run_id", "kind", "z")
+
+
+@add("run_rule_anomalies", f"""with r as ({_RUNS}), x as (select pipeline, run_id, case when run_id % 23 = 0 then 60 else records % 17 end as failed, row_number() over (partition by pipeline order by started_at, run_id) as k from r), h as (select a.pipeline, a.run_id, a.failed, b.failed as past from x a join x b on a.pipeline = b.pipeline and b.k between a.k - 48 and a.k - 1 where a.failed > 8),
+  m as (select pipeline, run_id, failed, median(past) as med, count(*) as n from h group by all), s as (select h.pipeline, h.run_id, median(abs(past - med)) as mad from h join m on h.pipeline = m.pipeline and h.run_id = m.run_id group by all)
+  select m.pipeline, m.run_id, 'r1' as rule_id, cast(failed as double) as failed, med as typical, round((failed - med) / (1.4826 * case when mad > 0 then mad when abs(med) > 0 then abs(med) * 0.05 else 1 end), 3) as z
+  from m join s on m.pipeline = s.pipeline and m.run_id = s.run_id where n >= 5 and failed > med * 1.5 and (failed - med) / (1.4826 * case when mad > 0 then mad when abs(med) > 0 then abs(med) * 0.05 else 1 end) > 3""")
+def run_rule_anomalies(spark: SparkSession, d: str) -> DataFrame:
+    results = _runs(spark, d).select("pipeline", "run_id", "started_at", F.lit("r1").alias("rule_id"), F.when(F.col("run_id") % 23 == 0, 60).otherwise(F.col("records") % 17).alias("failed"))
+    return monitor.rule_anomalies(results.withColumn("rag", F.when(F.col("failed") > 8, "red").otherwise("green")))
 
 
 @add("event_windows", "select event_type, time_bucket(interval 60 minute, ts) as window_start, time_bucket(interval 60 minute, ts) + interval 60 minute as window_end, count(*) as n, round(sum(value), 4) as total from events group by 1, 2, 3")

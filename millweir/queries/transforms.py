@@ -49,6 +49,7 @@ one("find_replace", "cust", {"columns": ["name"], "find": "CUSTOMER", "replace":
 one("find_replace", "cust", {"columns": ["name"], "find": "luc", "replace": "x", "whole_word": True}, ["id", "name"], r"select id, regexp_replace(name, '\bluc\b', 'x', 'gi') as name from cust", "find_replace_word")
 one("remove_special_characters", "cust", {"columns": ["name"], "keep": "-"}, ["id", "name"], r"select id, regexp_replace(name, '[^\w\s\-]', '', 'g') as name from cust")
 one("normalize_strings", "cust", {"columns": ["name"]}, ["id", "name"], rf"select id, {TRIM(SQUEEZE)} as name from cust")
+one("normalize_strings", "odd", {"columns": ["wide"]}, ["id", "wide"], "select id, 'Ab' || cast(id % 9 as varchar) || 'fi 1⁄2' as wide from odd", "normalize_strings_wide")
 one("clean_punctuation", "cust", {"columns": ["name"]}, ["id", "name"], r"select id, regexp_replace(replace(name, '!!', '!'), '^[[:punct:]\s]+|[[:punct:]\s]+$', '', 'g') as name from cust")
 one("standardize_codes", "cust", {"columns": ["code"], "pad_length": 5}, ["id", "code"], r"with x as (select id, upper(regexp_replace(code, '\s+', '', 'g')) as c from cust) select id, case when length(c) < 5 then lpad(c, 5, '0') else c end as code from x")
 PHONE = "case when phone like '(555)%' then '+1' || regexp_replace(phone, '[^0-9]', '', 'g') when phone like '+44%' then '+' || regexp_replace(phone, '[^0-9]', '', 'g') when phone like '1555%' then '+' || phone end"
@@ -78,6 +79,10 @@ one("add_prefix", "cust", {"columns": ["name"], "value": "Ms "}, ["id", "name"],
 one("add_suffix", "cust", {"columns": ["name"], "value": "/x"}, ["id", "name"], "select id, name || '/x' as name from cust")
 one("text_length", "cust", {"column": "name", "output": "n"}, ["id", "n"], "select id, length(name) as n from cust")
 # ---- dates
+one("convert_types", "odd", {"conversions": [{"column": "share", "to": "percentage"}, {"column": "stamp", "to": "timestamp"}]}, ["id", "share", "stamp"],
+    "select id, case when id % 4 = 0 then cast(id % 100 as double) / 100 when id % 4 = 1 then cast(id % 100 as double) / 100 when id % 4 = 2 then cast(id % 100 + 2 as double) / 100 end as share, case when id % 3 < 2 then cast(made as timestamp) + interval '7 hours 8 minutes 9 seconds' end as stamp from odd", "convert_types_typed")
+one("convert_types", "cust", {"conversions": [{"column": "amount", "to": "decimal"}]}, ["id", "amount"], f"select id, round({NUM('amount')}, 6) as amount from cust", "convert_types_decimal")
+one("parse_date", "odd", {"columns": ["day"]}, ["id", "day"], "select id, case when id % 19 = 6 then make_date(year(made), month(made), 28) when id % 19 < 17 then made end as day from odd", "parse_date_formats")
 one("parse_date", "cust", {"columns": ["joined"]}, ["id", "joined"], f"select id, {DATE('joined')} as joined from cust")
 one("standardize_date", "cust", {"column": "joined", "format": "%d/%m/%Y"}, ["id", "joined"], f"select id, strftime({DATE('joined')}, '%d/%m/%Y') as joined from cust")
 for _part, _sql in {"year": "cast(year({}) as integer)", "month": "cast(month({}) as integer)", "quarter": "cast(quarter({}) as integer)", "day": "cast(day({}) as integer)", "week": "cast(week({}) as integer)", "day_of_week": "dayname({})", "month_name": "monthname({})"}.items():
@@ -107,7 +112,9 @@ one("smart_impute", "cust", {"column": "country", "group_by": ["segment"], "valu
 one("flag_duplicates", "dup", {"columns": ["k", "txt"]}, ["v", "is_duplicate"], "select v, count(*) over (partition by k, txt) > 1 as is_duplicate from dup")
 for _keep, _by in {"first": "v", "last": "v desc", "latest": "try_cast(d as date) desc nulls last, v", "highest_quality": "case when txt is null then 0 else 1 end + case when d is null then 0 else 1 end desc, v"}.items():
     one("remove_duplicates", "dup", {"columns": ["k"], "keep": _keep, "order_by": "d" if _keep == "latest" else None}, None, f"select k, v, seg, txt, d from dup qualify row_number() over (partition by k order by {_by}) = 1", f"remove_duplicates_{_keep}", ["v"])
-one("fuzzy_duplicates", "cust", {"columns": ["name"], "threshold": 95}, ["id", "similar_group", "has_similar"], None, order=["id"])
+_NEAR = "with o as (select id, id % 40 as k, lower(regexp_replace(near, '[^A-Za-z0-9]', '', 'g')) as t from odd), f as (select k, min(id) as first from o group by k), h as (select f.k, o.t from f join o on o.id = f.first) "
+one("fuzzy_duplicates", "odd", {"columns": ["near"], "threshold": 95}, ["id", "similar_group", "has_similar"], _NEAR + "select o.id, substr(h.t, 1, 2) || '-' || substr(sha256(h.t), 1, 12) as similar_group, count(*) over (partition by o.k) > 1 as has_similar from o join h on o.k = h.k", order=["id"])
+one("fuzzy_duplicates", "odd", {"columns": ["near"], "threshold": 95, "action": "remove"}, ["id"], _NEAR + "select first as id from f", "fuzzy_duplicates_near_remove", ["id"])
 one("fuzzy_duplicates", "dup", {"columns": ["seg"], "action": "remove"}, ["seg", "v"], "select seg, min(v) as v from dup group by seg", "fuzzy_duplicates_remove", ["v"])
 one("survivorship", "dup", {"columns": ["k"], "rules": {"v": "max", "seg": "longest", "txt": "most_common"}}, None, """with m as (select k, txt, row_number() over (partition by k order by count(*) desc, txt) as r from dup where txt is not null group by k, txt)
   select dup.k, max(v) as v, first(seg order by length(seg) desc, v) as seg, any_value(m.txt) as txt, first(d order by v) filter (where d is not null) as d from dup left join m on dup.k = m.k and m.r = 1 group by dup.k""", order=["v"])
@@ -130,6 +137,9 @@ one("fuzzy_join", "cust", {"right_dataset": "nat", "left_on": "nation", "right_o
 one("reference_lookup", "ord", {"column": "custkey", "right_dataset": "cust", "right_on": "id", "columns": ["segment"]}, ["okey", "segment", "custkey_in_reference"], "select okey, segment, id is not null as custkey_in_reference from ord left join cust on custkey = id", order=["id"])
 one("union", "nat", {"datasets": ["nat"]}, None, "select nkey, nname, region from nat")
 one("union_all", "nat", {"datasets": ["dup"]}, ["nkey", "nname", "region", "k", "seg"], "select nkey, nname, region, k, seg from (select nkey, nname, region, null as k, null as seg from nat union all select null, null, null, k, seg from dup)")
+one("fuzzy_join", "odd", {"right_dataset": "item", "left_on": "item", "right_on": "label"}, ["id", "nname"], "select id, nname from odd left join item on regexp_extract(odd.item, '[0-9]+') = regexp_extract(label, '[0-9]+')", "fuzzy_join_text")
+one("union", "nat", {"datasets": ["half", "nat"]}, None, "select distinct cast(nkey as double) as nkey, nname, cast(region as varchar) as region from nat union select nkey, nname, region from half", "union_widened")
+add("sort_rows_numbers_in_text", steps("cust", ("sort_rows", {"keys": [{"column": "amount", "value_kind": "number", "desc": True}, {"column": "id"}]}), ("limit_rows", {"n": 50}), keep=["id", "amount"]), f"select id, amount from cust order by {NUM('amount')} desc nulls last, id limit 50")
 # ---- aggregates and windows
 _AGGS = {"count": "count(price)", "sum": "round(sum(price), 2)", "mean": "round(avg(price), 4)", "min": "min(price)", "max": "max(price)", "median": "median(price)", "p25": "quantile_cont(price, 0.25)", "p75": "quantile_cont(price, 0.75)", "p90": "quantile_cont(price, 0.9)", "p95": "quantile_cont(price, 0.95)", "std": "round(stddev_samp(price), 4)"}
 
@@ -150,6 +160,9 @@ for _fn, _sql in {"row_number": f"row_number() {_W}", "rank": "rank() over (part
 _run = steps("ord", ("window", {"order_by": "odate", "fn": "running_sum", "column": "price", "output": "x"}), keep=["okey", "x"], order=["okey"])
 add("window_running_sum_global", lambda s, d: _run(s, d).withColumn("x", F.round("x", 2)), "select okey, round(sum(price) over (order by odate, okey rows between unbounded preceding and current row), 2) as x from ord")
 one("window", "ord", {"order_by": "price", "fn": "row_number", "output": "x"}, ["okey", "x"], "select okey, row_number() over (order by price, okey) as x from ord", "window_row_number_global", ["okey"])
+for _fn, _sql in {"rank": "cast(rank() over (order by prio) as integer)", "dense_rank": "cast(dense_rank() over (order by prio) as integer)", "lag": "lag(price) over (order by odate, okey)", "lead": "lead(price) over (order by odate, okey)", "moving_avg": "round(avg(price) over (order by odate, okey rows between 4 preceding and current row), 3)"}.items():
+    _all = steps("ord", ("window", {"order_by": "prio" if "rank" in _fn else "odate", "fn": _fn, "column": "price", "output": "x", "window_size": 5}), keep=["okey", "x"], order=["okey"])
+    add(f"window_{_fn}_global", (lambda s, d, m=_all: m(s, d).withColumn("x", F.round("x", 3))) if _fn == "moving_avg" else _all, f"select okey, {_sql} as x from ord")
 # ---- pivots
 _piv = steps("ord", ("pivot", {"index": ["prio"], "columns": "status", "values": "price", "column_values": ["F", "O", "P"]}))
 add("pivot", lambda s, d: _piv(s, d).withColumns({c: F.round(c, 2) for c in "FOP"}), "select prio, " + ", ".join(f"round(sum(price) filter (where status = '{c}'), 2) as \"{c}\"" for c in "FOP") + " from ord group by prio")
@@ -193,6 +206,7 @@ for _name, (_tree, _sql) in {
     "rounding": (_op("-", _f("ceil", _c("bal")), _f("floor", _c("bal"))), "cast(ceil(bal) - floor(bal) as bigint)"),
     "dates": (_f("days_between", _f("add_days", _f("to_date", _c("joined")), _l(10)), _f("today")), f"date_diff('day', {DATE('joined')} + interval 10 day, date '2024-06-30')"),
     "date_parts": (_op("+", _op("*", _f("year", _c("joined")), _l(100)), _op("+", _f("month", _c("joined")), _op("*", _f("quarter", _c("joined")), _f("day", _c("joined"))))), f"cast(year({DATE('joined')}) * 100 + month({DATE('joined')}) + quarter({DATE('joined')}) * day({DATE('joined')}) as integer)"),
+    "comparisons": (_op("and", _op("<", _c("bal"), _l(5000)), _op("or", _op(">=", _c("id"), _l(100)), _op("<=", _c("nation"), _l(5)))), "bal < 5000 and (id >= 100 or nation <= 5)"),
     "years": (_f("years_between", _c("joined"), _f("today")), f"date_sub('year', {DATE('joined')}, date '2024-06-30')"),
     "case": (_op("!=", _f("lower", _c("segment")), _l("building")), "lower(segment) <> 'building'"),
 }.items():
@@ -213,7 +227,8 @@ one("mask", "cust", {"columns": ["phone", "flag"]}, ["id", "phone", "flag"], "se
 one("mask", "cust", {"columns": ["email"], "style": "email"}, ["id", "email"], "select id, case when contains(email, '@') then substr(email, 1, 1) || '•••@' || substr(email, strpos(email, '@') + 1) when length(email) <= 4 then repeat('•', length(email)) else repeat('•', length(email) - 4) || right(email, 4) end as email from cust", "mask_email")
 one("mask", "cust", {"columns": ["segment"], "style": "full"}, ["id", "segment"], "select id, '••••••' as segment from cust", "mask_full")
 one("hash", "cust", {"columns": ["segment"]}, ["id", "segment"], "select id, sha256('secret' || segment) as segment from cust")
-one("tokenize", "cust", {"columns": ["segment"]}, ["id", "segment"], None)
+_PADS = [bytes(b ^ x for b in b"secret".ljust(64, b"\0")).hex() for x in (0x36, 0x5C)]
+one("tokenize", "cust", {"columns": ["segment"]}, ["id", "segment"], f"select id, 'tok_' || substr(sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(segment)))), 1, 16) as segment from cust")
 one("restrict", "nat", {"columns": ["nname"]}, None, "select nkey, region from nat")
 
 
