@@ -1,4 +1,4 @@
-"""Exact radius joins of strings under the Damerau-Levenshtein metric, by metric-space partitioning, and components of the links.
+"""Exact radius joins of strings under the Damerau-Levenshtein metric, by metric-space partitioning.
 
 Every distinct string of a cell is a pivot of its own, at distance 0. By the triangle inequality all strings within the radius r of it
 lie within 0 + r of its pivot, so repeating each string in the cells of the pivots within r, and joining inside cells, loses nothing.
@@ -124,22 +124,3 @@ def near_pairs(items: DataFrame, radius: int, fits: Callable[[Callable[[str], Co
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d, pa.int32())], [*batch.schema.names, "d"])
 
     return met.mapInArrow(measure, schema + ", d int").where(F.col("d") <= radius)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): the least node of each node's connected component; edges (a, b), nodes of any ordered type.
-
-    Least labels spread along edges and jump along labels, so rounds grow with the logarithm of a component's width. Each round is
-    written to the shared folder; nothing of the graph goes to the driver but whether labels changed.
-    """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumnRenamed("a", "node"), "labels")
-    while True:
-        spread = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("other"))
-        moved = labels.join(spread.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "other").alias("comp"))
-        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
-        new = materialize(moved.join(up, "comp", "left").select("node", "old", F.least("comp", F.coalesce("above", "comp")).alias("comp")), "labels")
-        changed = new.where("comp <> old").limit(1).count()
-        labels = new.select("node", "comp")
-        if not changed:
-            return labels
