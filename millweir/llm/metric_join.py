@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from millweir.llm.editing import distance
 from millweir.session import materialize
-from millweir.skew import salted_join
+from millweir.skew import hot_of, salted_join
 
 #: Strings that a cell may hold before signatures part it, and deletion signatures that a string may have before pieces take their place.
 CELL, MOST_SIGNATURES = 400, 1000
@@ -73,9 +73,10 @@ class Near:
 
 def _parted(items: DataFrame, radius: int, cell: int) -> DataFrame:
     """items with cell replaced by a hash, and those of large cells repeated once for each signature of their key."""
-    large = materialize(items.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cell).select("cell", F.lit(True).alias("_large")), "large")
+    large = items.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cell)
     if not large.limit(1).count():
         return items.withColumn("cell", F.xxhash64("cell"))
+    large = materialize(large, "large")
     names, schema = items.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,9 +87,9 @@ def _parted(items: DataFrame, radius: int, cell: int) -> DataFrame:
                 rows = part.take(pa.array([i for i, s in enumerate(signs) for _ in s], pa.int32()))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([x for s in signs for x in s], pa.string())], [*names, "_sign"])
 
-    marked = salted_join(items, large, "cell", F.col("node"), "left")
-    small = marked.where("_large is null").select(*names).withColumn("cell", F.xxhash64("cell"))
-    repeated = marked.where("_large").select(*names).mapInArrow(run, schema + ", _sign string")
+    marked = salted_join(items, large, "cell", F.col("node"), "left", hot=hot_of(large, "cell", "_n"))
+    small = marked.where("_n is null").select(*names).withColumn("cell", F.xxhash64("cell"))
+    repeated = marked.where("_n is not null").select(*names).mapInArrow(run, schema + ", _sign string")
     return small.unionByName(repeated.withColumn("cell", F.xxhash64("cell", "_sign")).drop("_sign"))
 
 
@@ -101,7 +102,8 @@ def near_pairs(items: DataFrame, radius: int, fits: Callable[[Callable[[str], Co
     items = items.where("cell is not null and key is not null and node is not null")
     others = [c for c in items.columns if c not in ("cell", "node")]
     turned = "turns" in others
-    split = _parted(items, radius, cell)
+    # both sides of the join read the same exchange
+    split = _parted(items, radius, cell).repartition("cell")
     left = split.select("cell", F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in others])
     right = split.select("cell", F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in others])
     a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
