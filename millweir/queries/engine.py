@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 from millweir.plans import lakehouse, monitor, profiling
 from millweir.plans.pipeline import Pipeline, changes
 from millweir.plans.quality import Rule, dimensions, results, scores, split, stamp
-from millweir.queries.base import TODAY, view, with_views
+from millweir.queries.base import TODAY, context, view, with_views
 from millweir.queries.transforms import BLANK, DATE, EMAIL, GOOD, NUM, TRIM, country
-from millweir.sources.writers import merged
-from millweir.streaming.stream import sessions, tumbling
-from millweir.session import table
+from millweir.session import shared_folder, table
+from millweir.sources.readers import read_file
+from millweir.sources.writers import Target, merge_files, merged, write
+from millweir.streaming.stream import apply_steps, file_stream, for_each_batch, sessions, tumbling
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -209,6 +211,16 @@ def merge_rows(spark: SparkSession, d: str) -> DataFrame:
     return merged(nat, new, ["nkey"])
 
 
+@add("merge_table", "select nkey, nname from nat where nkey >= 5 union all select nkey, 'new ' || nname from nat where nkey < 5 union all select nkey + 100, nname from nat where nkey < 3")
+def merge_table(spark: SparkSession, d: str) -> DataFrame:
+    """merge_rows into a folder that is replaced."""
+    target = Target(f"{shared_folder(spark)}/millweir-merge-{uuid.uuid4().hex}", mode="merge", keys=["nkey"])
+    nat = view(spark, d, "nat").select("nkey", "nname")
+    merge_files(nat, target)
+    merge_files(nat.where("nkey < 5").select("nkey", F.concat(F.lit("new "), "nname").alias("nname")).unionByName(nat.where("nkey < 3").select((F.col("nkey") + 100).alias("nkey"), "nname")), target)
+    return spark.read.parquet(target.path)
+
+
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     """A run for each day of orders, by priority."""
     o = view(spark, d, "ord").groupBy(F.col("prio").alias("pipeline"), F.col("odate").alias("started_at")).agg(F.count(F.lit(1)).alias("records"), F.avg("price").alias("quality"), F.sum("price").alias("cost"), F.max("okey").alias("run_id"))
@@ -256,6 +268,38 @@ def run_rule_anomalies(spark: SparkSession, d: str) -> DataFrame:
     return monitor.rule_anomalies(results.withColumn("rag", F.when(F.col("failed") > 8, "red").otherwise("green")))
 
 
+_KEPT = "select cast(id as varchar) as id, name, code, segment, cast(bal as varchar) as bal from cust where name is not null"
+
+
+def _round_trip(kind: str, **options):  # noqa: ANN202
+    """A view written to the shared folder in a format and read back, all columns as text."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        path = f"{shared_folder(spark)}/millweir-{kind}-{uuid.uuid4().hex}"
+        kept = view(spark, d, "cust").where("name is not null").select(F.col("id").cast("string").alias("id"), F.regexp_replace("name", "\t", " ").alias("name"), "code", "segment", F.col("bal").cast("string").alias("bal"))
+        write(kept, Target(path, kind, "overwrite", options=options))
+        return read_file(spark, path, format=kind, **({"tag": "r"} if kind == "xml" else {})).select("id", "name", "code", "segment", "bal")
+
+    return query
+
+
+for _kind, _options in {"csv": {}, "json": {}, "xml": {"rowTag": "r", "rootTag": "all"}, "orc": {}, "parquet": {}}.items():
+    # XML readers drop outer blanks
+    _shown = {c: f"trim(replace({c}, chr(9), ' '))" if _kind == "xml" else f"replace({c}, chr(9), ' ')" for c in ("name", "code")}
+    add(f"io_{_kind}", _KEPT.replace("name, code", ", ".join(f"{e} as {c}" for c, e in _shown.items())))(_round_trip("jsonl" if _kind == "jsonl" else _kind, **_options))
+
+
+@add("io_stream", "select upper(event_type) as event_type, count(*) as n, round(sum(value), 3) as total from events where user_id % 2 = 0 or user_id > 50 group by 1")
+def io_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A file stream through stream-safe steps into a table of files, batch by batch."""
+    schema = table(spark, d, "events").schema
+    path = f"{shared_folder(spark)}/millweir-stream-{uuid.uuid4().hex}"
+    stream = file_stream(spark, f"{d}/events*.parquet", schema)
+    made = apply_steps(stream, [{"type": "uppercase", "params": {"columns": ["event_type"]}}], context(spark, d)).where("user_id % 2 = 0 or user_id > 50")
+    for_each_batch(made.select("event_type", "value"), lambda df, n: write(df, Target(f"{path}/table")), f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/table").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
+
+
 @add("event_windows", "select event_type, time_bucket(interval 60 minute, ts) as window_start, time_bucket(interval 60 minute, ts) + interval 60 minute as window_end, count(*) as n, round(sum(value), 4) as total from events group by 1, 2, 3")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")

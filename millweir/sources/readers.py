@@ -6,6 +6,7 @@ Detection looks at the first bytes on the driver; reading is Spark's.
 from __future__ import annotations
 
 import io
+import json
 import re
 import uuid
 import zipfile
@@ -45,6 +46,15 @@ def sniff_format(name: str, head: bytes) -> str:
     return {b"{": "json", b"[": "json", b"<": "xml"}.get(start, "csv")
 
 
+def is_json_lines(head: bytes) -> bool:
+    """Whether the first lines are a JSON object each; one object or list over several lines is a document."""
+    lines = [x for x in head.decode("utf-8", "replace").lstrip("\ufeff").splitlines() if x.strip()]
+    try:
+        return len(lines) > 1 and isinstance(json.loads(lines[0]), dict) and lines[1].lstrip().startswith("{")
+    except ValueError:
+        return False
+
+
 def sniff_encoding(head: bytes) -> str:
     for mark, name in ((b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE")):
         if head.startswith(mark):
@@ -215,7 +225,7 @@ def read_file(spark: SparkSession, path: str, limit: int | None = None, **option
     if kind in ("csv", "tsv"):
         df = read_csv(spark, path, **({"sep": "\t"} if kind == "tsv" else {}) | options)
     elif kind in ("json", "jsonl"):
-        df = read_json(spark, path, lines=kind == "jsonl", entity=options.get("entity"))
+        df = read_json(spark, path, lines=kind == "jsonl" or is_json_lines(_head(spark, path)), entity=options.get("entity"))
     elif kind == "xml":
         df = read_xml(spark, path, options.get("tag"))
     elif kind == "xlsx":

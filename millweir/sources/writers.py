@@ -35,7 +35,8 @@ def write(df: DataFrame, target: Target) -> None:
         df = df.select(F.to_json(F.struct("*")).alias("value"))
     writer = df.write.format(FORMATS.get(target.format, target.format)).mode("append" if target.mode == "merge" else target.mode).options(**target.options)
     if target.format == "csv":
-        writer = writer.option("header", True)
+        # as read_csv reads it: outer blanks stay, and a quote within quotes is doubled
+        writer = writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     if target.partition_by:
         writer = writer.partitionBy(*target.partition_by)
     writer.save(target.path)

@@ -42,6 +42,19 @@ def test_files(spark, tmp_path):
         unzip(spark, str(tmp_path / "f.zip"), str(tmp_path / "out"))
 
 
+def test_json_lines_in_a_json_file(spark, tmp_path):
+    (tmp_path / "l.json").write_text('{"a": 1}\n{"a": 2, "b": "x"}\n')
+    assert sorted(r.a for r in read_file(spark, str(tmp_path / "l.json")).collect()) == ["1", "2"]
+    (tmp_path / "m.json").write_text('{"a": 1,\n "b": {"c": 2}}\n')
+    assert read_file(spark, str(tmp_path / "m.json")).first().a == "1"
+
+
+def test_csv_keeps_blanks_and_quotes(spark, tmp_path):
+    rows = [(" a ", 'say "hi", now'), ("b\\", ""), ("c", "semi;colon")]
+    write(spark.createDataFrame(rows, "k string, v string"), Target(str(tmp_path / "c"), "csv", "overwrite"))
+    assert sorted((r.k, r.v or "") for r in read_file(spark, str(tmp_path / "c"), format="csv").collect()) == sorted(rows)
+
+
 def test_sheet(spark, tmp_path):
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
