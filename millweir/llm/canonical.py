@@ -4,8 +4,8 @@ One automaton over the canonical names and all aliases finds mentions at word en
 not overlap win. What has no mention goes to token-set similarity: each token of an entry takes the token of the value that is spelt
 nearest, in any order, and the share of the entry's letters that agree is the similarity; tokens run together or parted count as one.
 An index of signatures (metric_join.py) finds the tokens in reach, so no value is compared with the whole list. Values with neither are
-reported as none. Rows are mapped where they are read, each distinct value once a worker, without a shuffle.
-The canonical list is broadcast: its size is checked against MOST_ENTRIES.
+reported as none. Rows are mapped where they are read, each distinct value once a worker, without a shuffle. What is sent to the
+workers of a canonical list is bounded: a longer one is taken in blocks, and each value keeps the best of what the blocks say.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import functools
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations
 
 import pyarrow as pa
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 
 from millweir.llm.editing import fold
 from millweir.llm.metric_join import Near
+from millweir.session import materialize
 
+#: Entries of the list that a block holds.
 MOST_ENTRIES = 200_000
 #: An entry among other words needs so many letters, of which so many must agree.
 LEAST_LETTERS, LEAST_SIMILARITY = 7, 0.8
@@ -48,6 +51,12 @@ def short_forms(name: str) -> Iterable[str]:
                 yield "".join([first[0], *(first[k] for k in kept)]) + " " + rest
 
 
+#: How well a value fits an entry: the kind of evidence, then its degrees.
+Rank = tuple[float, float, float]
+NOTHING: Rank = (0.0, 0.0, 0.0)
+EXACT: Rank = (9.0, 0.0, 0.0)
+
+
 @dataclass
 class Lexicon:
     """The aliases of a canonical list. names: key -> names; codes: key -> codes, which count only if nothing else is in the value."""
@@ -113,17 +122,17 @@ class Lexicon:
                 return [x for x in found if x[0] == least]
         return []
 
-    def nearest(self, text: str) -> set[str]:
-        """The keys of the most similar entry as token sets, empty if none is similar enough."""
+    def nearest(self, text: str) -> tuple[set[str], Rank]:
+        """The keys of the most similar entry as token sets, none if no entry is similar enough."""
         words = [w for w in text.split() if not w.isdigit()]
         whole = {"".join(words), "".join(sorted(words)), "".join(w for w in words if w not in FILLERS)} - {""}
         met = [x for form in whole for x in self._in_reach(form, self.near_forms, self.forms)]
         if met:
             least = min(met)[0]
-            return set().union(*(self.forms[f] for d, f in met if d == least))
+            return set().union(*(self.forms[f] for d, f in met if d == least)), (2.0, -float(least), 0.0)
         return self.contained(words)
 
-    def contained(self, words: list[str]) -> set[str]:
+    def contained(self, words: list[str]) -> tuple[set[str], Rank]:
         """The keys of the entries whose tokens all stand among other words, misspelt; the one with the greatest similarity, then the longest."""
         reach = {w: self._in_reach(w, self.near_words, self.sets) for w in set(words)}
         at: dict[str, int] = {}
@@ -138,12 +147,13 @@ class Lexicon:
                 if similarity >= LEAST_SIMILARITY:
                     scored.append((round(similarity, 6), letters, entry))
         if not scored:
-            return set()
+            return set(), NOTHING
         best = max(scored)[:2]
-        return set().union(*(keys for name, keys in self.plain.items() if any(x[:2] == best and x[2] == tuple(sorted(name.split())) for x in scored)))
+        meant = {entry for *score, entry in scored if tuple(score) == best}
+        return set().union(*(keys for name, keys in self.plain.items() if tuple(sorted(name.split())) in meant)), (1.0, best[0], float(best[1]))
 
-    def resolve(self, value: str) -> tuple[set[str], str]:
-        """The keys that a value may mean, and the rest of the folded value without their mentions."""
+    def resolve(self, value: str) -> tuple[set[str], str, Rank]:
+        """The keys that a value may mean, the rest of the folded value without their mentions, and how well it fits."""
         text = fold(value)
         found = self.mentions(text)
         named = [m for m in found if m[2] in self.keys_of]
@@ -154,13 +164,13 @@ class Lexicon:
             for start, end, alias in reversed(named):
                 if self.keys_of[alias] & self.keys_of[longest[2]]:
                     rest = rest[: start + 1] + rest[end:]
-            return self.keys_of[longest[2]], " ".join(rest.split())
+            return self.keys_of[longest[2]], " ".join(rest.split()), (4.0, float(len(longest[2])), -float(longest[0]))
         if found:
             covered = sum(len(m[2].replace(" ", "")) for m in found)
             if covered == len(text.replace(" ", "")):
                 keys = set.intersection(*(self.code_keys[m[2]] for m in found))
-                return keys, ""
-        return self.nearest(text), ""
+                return keys, "", (3.0, 0.0, 0.0)
+        return (x := self.nearest(text))[0], "", x[1]
 
 
 class PlaceMapper:
@@ -176,7 +186,7 @@ class PlaceMapper:
         self.city = functools.lru_cache(maxsize=200_000)(self._city)
 
     def _country(self, value: str) -> str | None:
-        keys, _ = self.countries.resolve(value)
+        keys = self.countries.resolve(value)[0]
         return min(keys) if len(keys) == 1 else None
 
     def _named_country(self, rest: str) -> str | None:
@@ -184,8 +194,8 @@ class PlaceMapper:
         keys = set.union(set(), *((self.countries.keys_of | self.countries.code_keys)[m[2]] for m in self.countries.mentions(rest)))
         return min(keys) if len(keys) == 1 else None
 
-    def _city(self, value: str) -> tuple[tuple[str, ...], str | None]:
-        keys, rest = self.cities.resolve(value)
+    def _city(self, value: str) -> tuple[tuple[str, ...], str | None, Rank]:
+        keys, rest, rank = self.cities.resolve(value)
         named = self._named_country(rest)
         if not keys:  # a misspelt name beside a country or postal code
             text = fold(value)
@@ -194,24 +204,27 @@ class PlaceMapper:
                 padded = f" {text} "
                 for start, end, _ in reversed(beside):
                     padded = padded[: start + 1] + padded[end:]
-                keys, named = self.cities.nearest(padded.strip()), self._named_country(text)
-        return tuple(sorted(keys)), named
+                (keys, rank), named = self.cities.nearest(padded.strip()), self._named_country(text)
+        return tuple(sorted(keys)), named, rank if keys else NOTHING
 
-    def rows(self, city: str | None, country: str | None) -> Iterator[tuple[str, str]]:
+    def rows(self, city: str | None, country: str | None) -> Iterator[tuple[str, str | None, Rank, int]]:
+        """(field, key, how well it fits, whether the country agrees) of each value; an exact name has no key."""
         where = self.country(country) if country and country.strip() else None
-        if country and country.strip() and country not in self.country_names:
-            yield "country", where or NONE
-        if city and city.strip() and city not in self.city_names:
-            keys, named = self.city(city)
-            fitting = [k for k in keys if self.country_of[k] == (named or where)] or [k for k in keys if self.country_of[k] == where] or list(keys)
-            yield "city", fitting[0] if fitting else NONE
+        if country and country.strip():
+            yield ("country", None, EXACT, 0) if country in self.country_names else ("country", where or NONE, NOTHING, 0)
+        if city and city.strip():
+            if city in self.city_names:
+                yield "city", None, EXACT, 0
+            else:
+                keys, named, rank = self.city(city)
+                agree = {k: 2 if self.country_of[k] == (named or where) else 1 if self.country_of[k] == where else 0 for k in keys}
+                # keys are in order: of those that agree most, the least
+                best = max(keys, key=lambda k: agree[k], default=None)
+                yield "city", best or NONE, rank, agree.get(best, 0)
 
 
 def _entries(ref: DataFrame, columns: list[str]) -> list[tuple]:
-    rows = ref.select(*columns).distinct().limit(MOST_ENTRIES + 1).collect()
-    if len(rows) > MOST_ENTRIES:
-        raise ValueError(f"a canonical list may have {MOST_ENTRIES} entries at most; split it, for instance by country, and map each part")
-    return sorted((tuple(r) for r in rows if r[0] is not None), key=str)
+    return sorted((tuple(r) for r in ref.select(*columns).distinct().collect() if r[0] is not None), key=str)
 
 
 def map_places(df: DataFrame, row_id: str, city: str, country: str, countries: DataFrame, cities: DataFrame) -> DataFrame:
@@ -219,21 +232,38 @@ def map_places(df: DataFrame, row_id: str, city: str, country: str, countries: D
 
     Null and blank values give no row. A name that two entries share goes to the one in the country named beside it or in the row,
     else to the entry with the smaller key. Rows repeated come out as often as they came in. Empty lists map everything to none.
+    countries: a list of bounded length, for each of which there may be any number of cities.
     """
-    known = [_entries(countries, ["country_code", "iso3", "country_name", "official_name", "local_name"]), _entries(cities, ["city_id", "city_name", "country_code"])]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mapper = PlaceMapper(*known)
-        for batch in batches:
-            ids, at, fields, keys = batch.column(0), [], [], []
-            for i, (c, k) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                for name, key in mapper.rows(c, k):
-                    at.append(i)
-                    fields.append(name)
-                    keys.append(key)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int32())), pa.array(fields, pa.string()), pa.array(keys, pa.string())], ["id", "field_name", "ref_key"])
-
+    n = cities.select("city_id").distinct().count()
+    blocks = max(1, -(-n // MOST_ENTRIES))
+    if countries.limit(MOST_ENTRIES + 1).count() > MOST_ENTRIES:
+        raise ValueError(f"there are more than {MOST_ENTRIES} countries")
+    known = _entries(countries, ["country_code", "iso3", "country_name", "official_name", "local_name"])
     rows = df.select(F.col(f"`{row_id}`").alias("id"), F.col(f"`{city}`").alias("city"), F.col(f"`{country}`").alias("country"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, field_name string, ref_key string").withColumnRenamed("id", row_id)
-
-
+    if blocks > 1:
+        rows = materialize(rows.withColumn("at", F.monotonically_increasing_id()), "typed")
+    else:
+        rows = rows.withColumn("at", F.lit(0).cast("long"))
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, at long, field_name string, ref_key string, fit array<double>, agree int"
+
+    def mapped(of_block: list[tuple]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mapper = PlaceMapper(known, of_block)
+            for batch in batches:
+                typed = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+                found = [(i, *x) for i, (c, k) in enumerate(typed) for x in mapper.rows(c, k) if blocks > 1 or x[1] is not None]
+                at = pa.array([x[0] for x in found], pa.int32())
+                columns = [pa.array([x[j] for x in found], kind) for j, kind in ((1, pa.string()), (2, pa.string()), (3, pa.list_(pa.float64())), (4, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(3).take(at), *columns], ["id", "at", "field_name", "ref_key", "fit", "agree"])
+
+        return rows.mapInArrow(run, schema)
+
+    columns = ["city_id", "city_name", "country_code"]
+    if blocks == 1:
+        return mapped(_entries(cities, columns)).select(F.col("id").alias(row_id), "field_name", "ref_key")
+    in_block = F.pmod(F.xxhash64("city_name"), F.lit(blocks))
+    every = reduce(DataFrame.unionAll, [mapped(_entries(cities.where(in_block == b), columns)) for b in range(blocks)])
+    # an exact name has no key and outdoes all; of equal fits the least key
+    best = every.groupBy("at", "field_name").agg(F.first("id").alias("id"), F.max(F.struct("fit", "agree")).alias("most"), F.collect_list(F.struct("fit", "agree", "ref_key")).alias("said"))
+    key = F.array_min(F.transform(F.filter("said", lambda x: (x["fit"] == F.col("most.fit")) & (x["agree"] == F.col("most.agree"))), lambda x: x["ref_key"]))
+    return best.select(F.col("id").alias(row_id), "field_name", key.alias("ref_key")).where("ref_key is not null")

@@ -1,8 +1,10 @@
+import random
 from itertools import product
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from millweir.llm import canonical
 from millweir.llm.canonical import map_places
 from millweir.llm.editing import distance, fold
 
@@ -69,3 +71,16 @@ def test_misspelt_entries_among_other_words(spark):
     dealers = spark.createDataFrame([(i, v, None) for i, v in enumerate(values)], "dealer_id long, city string, country string")
     got = {r.dealer_id: r.ref_key for r in map_places(dealers, "dealer_id", "city", "country", countries, cities).collect()}
     assert (got[0], got[1], got[2], got[3]) == ("1", "2", "none", "none")
+
+
+def test_long_lists_are_taken_in_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(4)).title()
+    names = [word() for _ in range(60)]
+    countries = spark.createDataFrame([("DE", "DEU", "Germany", None, None), ("FR", "FRA", "France", None, None)], "country_code string, iso3 string, country_name string, official_name string, local_name string")
+    cities = spark.createDataFrame([(f"{i:03d}", n, "DE" if i % 2 else "FR") for i, n in enumerate([*names, *names[:5][::-1]])], "city_id string, city_name string, country_code string")
+    typed = [n for n in names[:20]] + [n.upper() for n in names] + [n[:-2] + n[-1] for n in names[:30]] + [f"{n}, {c}" for n in names[:6] for c in ("France", "Germany")] + ["nowhere else", "", None]
+    dealers = spark.createDataFrame([(i % 40, v, rng.choice(["Germany", "franc", None])) for i, v in enumerate(typed)], "dealer_id long, city string, country string")
+    whole = sorted(map(tuple, map_places(dealers, "dealer_id", "city", "country", countries, cities).collect()))
+    monkeypatch.setattr(canonical, "MOST_ENTRIES", 17)
+    assert sorted(map(tuple, map_places(dealers, "dealer_id", "city", "country", countries, cities).collect())) == whole and len(whole) > 100
