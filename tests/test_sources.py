@@ -8,6 +8,7 @@ from millweir.operators.registry import Context
 from millweir.plans.lakehouse import build
 from millweir.plans.pipeline import Pipeline, policy_problems
 from millweir.session import shared_folder
+from millweir.sources.connectors import connect, connector
 from millweir.sources.readers import incremental_column, json_entities, read_file, sniff_delimiter, sniff_encoding, sniff_format, unzip
 from millweir.sources.rest import MorePages, pages, read_pages
 from millweir.sources.writers import Target, merge_sql, write
@@ -149,3 +150,20 @@ def test_a_cluster_needs_a_shared_folder():
 def test_policy():
     assert policy_problems({"steps": [{"params": {"sql": "x"}}]}) and policy_problems({"a": ["x" * 2001]}) and policy_problems({"steps": [{"Code": 1}]})
     assert not policy_problems({"rules": [{"rule": "expression", "params": {"sql": "a > 1"}}]})
+
+
+def test_connectors_share_their_verbs(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,updated_at\n1,2024-01-01\n2,2024-01-02\n")
+    files = connect(spark, "file", folder=str(tmp_path))
+    assert files.test() is None and [f.name for f in files.discover()] == ["a.csv"] and files.incremental("a.csv") == "updated_at"
+    assert files.read("a.csv", 1).count() == 1 and files.profile("a.csv")["rows"] == 2 and files.schema("a.csv")[0] == {"name": "id", "type": "string"}
+    with pytest.raises(ValueError):
+        files.read("../a.csv")
+    assert connect(spark, "file", folder=str(tmp_path / "none")).test()
+    api = connect(spark, "api", fetch=lambda url, q: [{"id": url}], endpoints={"cars": "http://x/cars"})
+    assert api.read("cars").first().id == "http://x/cars"
+    assert connect(spark, "postgresql", host="h", database="d").url == "jdbc:postgresql://h:5432/d" and connect(spark, "s3", folder="b/x").folder == "s3a://b/x"
+    connector("mine", "format", lambda spark, **k: connect(spark, "file", folder=str(tmp_path)))
+    assert connect(spark, "mine").discover()[0].name == "a.csv"
+    with pytest.raises(ValueError):
+        connect(spark, "unknown")
