@@ -56,6 +56,10 @@ def passes(df: DataFrame, rules: list[Rule], load: Callable[[str], DataFrame] |
     """(df with what the rules need joined to it, a true/false column for each rule or why there is none). Blanks pass all but not_null."""
     made: list[tuple[Rule, Column | None, str]] = []
     wide = df
+    # the costly reading of dates is shared by the rules of a column
+    dated = {r.column for r in rules if r.enabled and r.column in df.columns and (r.rule == "date" or r.rule == "range" and _of_dates(r))}
+    wide = wide.withColumns({f"_date{i}": K.as_date(K.col(c), df.schema[c].dataType) for i, c in enumerate(sorted(dated))})
+    as_date = {c: F.col(f"_date{i}") for i, c in enumerate(sorted(dated))}
     for i, r in enumerate(x for x in rules if x.enabled):
         if r.column and r.column not in df.columns:
             made.append((r, None, f"the column {r.column!r} isn't in the output"))
@@ -76,9 +80,9 @@ def passes(df: DataFrame, rules: list[Rule], load: Callable[[str], DataFrame] |
             elif r.rule == "phone":
                 good = F.length(F.regexp_replace(K.strip(c), r"\D", "")).between(7, 15)
             elif r.rule == "date":
-                good = K.as_date(c, df.schema[r.column].dataType).isNotNull()
+                good = as_date[r.column].isNotNull()
             elif r.rule == "range":
-                good = _in_range(df, r, today)
+                good = _in_range(df, r, today, as_date.get(r.column))
             elif r.rule == "in_set":
                 good = K.key(c).isin([str(v).strip().lower() for v in p.get("values") or []])
             elif r.rule == "in_reference":
@@ -105,12 +109,15 @@ def passes(df: DataFrame, rules: list[Rule], load: Callable[[str], DataFrame] |
     return wide, made
 
 
-def _in_range(df: DataFrame, r: Rule, today: datetime.date | None) -> Column:
-    low, high = (r.params.get(k) for k in ("min", "max"))
-    of_dates = any(isinstance(x, str) and (x == "today" or x[:4].isdigit() and "-" in x) for x in (low, high))
+def _of_dates(r: Rule) -> bool:
+    return any(isinstance(x, str) and (x == "today" or x[:4].isdigit() and "-" in x) for x in ((r.params or {}).get("min"), (r.params or {}).get("max")))
+
+
+def _in_range(df: DataFrame, r: Rule, today: datetime.date | None, as_date: Column | None) -> Column:
+    low, high = ((r.params or {}).get(k) for k in ("min", "max"))
     kind = df.schema[r.column].dataType
-    if of_dates:
-        v = K.as_date(K.col(r.column), kind)
+    if as_date is not None and _of_dates(r):
+        v = as_date
         day = lambda x: (F.lit(today) if today else F.current_date()) if x == "today" else F.lit(datetime.date.fromisoformat(x))
     else:
         v, day = K.as_number(K.col(r.column), kind), lambda x: F.lit(float(x))
@@ -136,9 +143,16 @@ def split(stamped: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return stamped.where(~action.isin("quarantine", "drop")), stamped.where(action == "quarantine"), stamped.where(action == "drop")
 
 
+Passed = tuple[DataFrame, list[tuple[Rule, Column | None, str]]]
+
+
 def measure(df: DataFrame, rules: list[Rule], load: Callable[[str], DataFrame] | None = None, today: datetime.date | None = None) -> DataFrame:
     """One row: rows, failures by rule (f0, f1, ...), failing rows, and rows by their strictest action. One pass over the data."""
-    wide, made = passes(df, rules, load, today)
+    return _measured(passes(df, rules, load, today))
+
+
+def _measured(passed: Passed) -> DataFrame:
+    wide, made = passed
     known = [(i, r, c) for i, (r, c, _) in enumerate(made) if c is not None]
     marks = wide.select(*[(~c).alias(f"f{i}") for i, _, c in known]) if known else wide.select(F.lit(False).alias("f"))
     worst = {a: K.any_of([F.col(f"f{i}") for i, r, _ in known if r.on_fail == a] or [F.lit(False)]) for a in ACTIONS}
@@ -152,8 +166,11 @@ def measure(df: DataFrame, rules: list[Rule], load: Callable[[str], DataFrame] |
 
 def results(df: DataFrame, rules: list[Rule], load: Callable[[str], DataFrame] | None = None, today: datetime.date | None = None) -> DataFrame:
     """A row for each rule, as a lazy DataFrame: failures, pass rate and colour."""
-    wide, made = passes(df, rules, load, today)
-    one = measure(df, rules, load, today)
+    passed = passes(df, rules, load, today)
+    return _results(_measured(passed), passed[1])
+
+
+def _results(one: DataFrame, made: list[tuple[Rule, Column | None, str]]) -> DataFrame:
     rows = []
     for i, (r, c, problem) in enumerate(made):
         failed = F.col(f"f{i}") if c is not None else F.lit(None).cast("long")
@@ -181,27 +198,34 @@ def scores(found: DataFrame) -> DataFrame:
 
 def broken_values(df: DataFrame, rules: list[Rule], load: Callable[[str], DataFrame] | None = None, today: datetime.date | None = None, examples: int = 5) -> DataFrame:
     """(place, examples): up to so many values that break each rule of a column, the least of each hash bucket, from one pass."""
-    wide, made = passes(df, rules, load, today)
+    return _broken(passes(df, rules, load, today), examples)
+
+
+def _broken(passed: Passed, examples: int) -> DataFrame:
+    wide, made = passed
     marks = [F.struct(F.lit(i).alias("place"), F.when(~c, K.text(K.col(r.column))).alias("value")) for i, (r, c, _) in enumerate(made) if c is not None and r.column]
     if not marks:
-        return df.sparkSession.createDataFrame([], "place int, examples array<string>")
+        return wide.sparkSession.createDataFrame([], "place int, examples array<string>")
     values = wide.select(F.inline(F.array(*marks))).where("value is not null")
     some = values.groupBy("place", F.pmod(F.xxhash64("value"), F.lit(examples)).alias("bucket")).agg(F.min("value").alias("value"))
     return some.groupBy("place").agg(F.array_sort(F.collect_list("value")).alias("examples"))
 
 
 def evaluate(df: DataFrame, rules: list[Rule], load: Callable[[str], DataFrame] | None = None, today: datetime.date | None = None, examples: int = 5) -> dict:
-    """The report of a table: its results, dimensions, scores and broken values as a document. The driver gets a row a rule."""
-    found = results(df, rules, load, today)
+    """The report of a table: its results, dimensions, scores and broken values as a document, from one pass for the counts and one for
+    the values where rules are broken. The driver gets a row a rule."""
+    passed = passes(df, rules, load, today)
+    spark, measured = df.sparkSession, _measured(passed)
+    counts = measured.first()
+    found = _results(spark.createDataFrame([counts], measured.schema), passed[1])
     rows = [r.asDict() for r in found.collect()]
-    ready = df.sparkSession.createDataFrame([tuple(r[c] for c, _ in RESULT_COLUMNS) for r in rows], ", ".join(f"`{c}` {t}" for c, t in RESULT_COLUMNS))
-    total, counts = scores(ready).first(), measure(df, rules, load, today).first()
-    shown = {r.place: r.examples for r in broken_values(df, rules, load, today, examples).collect()} if total.issues else {}
+    total = scores(found).first()
+    shown = {r.place: r.examples for r in _broken(passed, examples).collect()} if total.issues else {}
     for place, row in enumerate(rows):
         row["examples"] = shown.get(place, [])
     handled = {what: counts[what] for what in ("quarantined", "dropped", "flagged")}
     return {
-        "score": total.score, "issues": total.issues, "rag": {c: total[c] for c in ("green", "amber", "red")}, "dimensions": {r.dimension: r.pass_rate for r in dimensions(ready).collect()}, "rules": rows,
+        "score": total.score, "issues": total.issues, "rag": {c: total[c] for c in ("green", "amber", "red")}, "dimensions": {r.dimension: r.pass_rate for r in dimensions(found).collect()}, "rules": rows,
         "records": counts.records, "failing_records": counts.failing, "handling": handled | {"loaded": counts.records - counts.kept_out, "fail_rules_triggered": sum(bool(r["failed"]) for r in rows if r["action"] == "fail")},
     }
 
