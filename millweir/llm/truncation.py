@@ -10,14 +10,15 @@ and scores cover all texts.
 
 from __future__ import annotations
 
+import random
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,19 +30,24 @@ TRAIN_ROWS, TRAIN_CHARS, WIDTH, WORD_BUCKETS, PASSES, BATCH = 30_000, 4_000, 1 <
 THRESHOLD, DOUBT = 0.5, 0.15
 
 _WORD = re.compile(r"\w+", re.UNICODE)
-#: Where a sentence or a line ends; a point within a number ends nothing.
-_SENTENCE = re.compile("([!?。！？‥؟।]|[.](?!\\w)|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])")
 #: Marks that end a sentence, marks that may follow them, and marks that show a cut.
 FINAL, CLOSING, CUT_MARKS = ".!?。！？‥؟।", "\"'”’»)]}>*_`“」』）】🙂😀👍", ("...", "…", "[...]", "(...)", "�", "[truncated]", "--more--", "[cut]", "...]")
 _BULLET = re.compile(r"^\s*(?:[-*•‣·–+]|\d{1,2}[.)])\s+")
 _FIELD = re.compile(r"^\s*[\w][\w /.()-]{0,28}[:=]\s*\S")
 _MARKUP = re.compile(r"<[^<>]*>\s*$")
+#: For counting, in the notation of Arrow's regular expressions: points that end a sentence (within a number one ends nothing), the
+#: ends of sentences and of lines, which become words of their own, and what parts words.
+_POINT, _STOP, _BREAK, _BETWEEN = r"[.]([^\p{L}\p{N}_]|$)", "[!?。！？‥؟।\x01]", "[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]", r"[^\p{L}\p{N}_\x{01}\x{02}]+"
 
 
 def word_bucket(word: str) -> int:
     return crc32(word.lower().encode()) % WORD_BUCKETS
 
 
+def pair_bucket(before: str, word: str) -> int:
+    return (crc32(before.lower().encode()) * 31 + crc32(word.lower().encode())) % WORD_BUCKETS
+
+
 @dataclass
 class Context:
     """What the whole corpus says: by bucket, how common a word or pair of words is (in logs), how often a final mark follows it
@@ -70,7 +76,8 @@ def features(text: str, group: str, context: Context, own: int = 1) -> list[int]
     word = words[-1] if words else ""
     pair = " ".join(words[-2:]).lower()
     count = int(context.words[word_bucket(word)]) if word else 0
-    ends = f"{context.ends[word_bucket(word)] if word else 'none'}|{context.ends[word_bucket(pair)] if len(words) > 1 else 'none'}"
+    pair_ends = context.ends[pair_bucket(*words[-2:])] if len(words) > 1 else "none"
+    ends = f"{context.ends[word_bucket(word)] if word else 'none'}|{pair_ends}"
     # whole words that end texts come back, such as names of writers; words cut short hardly do
     others = int(max(0, context.lasts[word_bucket(word)] - own)).bit_length() if word and not final else 0
     bullet = bool(_BULLET.match(line))
@@ -90,10 +97,10 @@ def features(text: str, group: str, context: Context, own: int = 1) -> list[int]
         f"open={open_bracket}|{final}", f"lines={min(len(lines), 3)}|{kind}|{final}", f"len={min(chars // 40, 20)}|{final}|{kind}", f"words={min(len(words), 12)}|{final}|{kind}", f"upto={'first' if len(lines) < 2 else 'later'}|{final}|{kind}",
     ]
     if mark:
-        out += [f"marked={ends}", f"markpair={pair}", f"markend={context.ends[word_bucket(pair)] if len(words) > 1 else 'none'}|{at_limit or near}"]
+        out += [f"marked={ends}", f"markpair={pair}", f"markend={pair_ends}|{at_limit or near}"]
     if not final:
         out += [
-            f"ends={ends}", f"ends={ends}|{kind}", f"endpair={context.ends[word_bucket(pair)] if len(words) > 1 else 'none'}|{kind}|{min(len(words), 5)}",
+            f"ends={ends}", f"ends={ends}|{kind}", f"endpair={pair_ends}|{kind}|{min(len(words), 5)}",
             f"known={min(count, 12)}|{shape}|{kind}", f"word={word.lower()}", f"word={word.lower()}|{kind}", f"pair={pair}", f"line={' '.join(words).lower()}|{kind}", f"tail={core[-3:].lower()}|{kind}", f"tail4={core[-4:].lower()}",
             f"caps={''.join('A' if w[:1].isupper() else 'a' if w[:1].isalpha() else '9' for w in words[-3:])}|{kind}|{min(len(words), 5)}", f"before={before[-1:] if before[-1:] in FINAL + ',:;-' else 'other'}|{kind}|{bool(_BULLET.match(before))}",
             f"greeting={' '.join(_WORD.findall(before)).lower()}|{kind}|{len(words)}", f"first={' '.join(words[:1]).lower()}|{kind}", f"field={line.split(':')[0].lower() if in_field else ''}|{shape}", f"label={line.split(':')[0].lower() if in_field else ''}|{min(count, 8)}|{len(words)}",
@@ -122,37 +129,37 @@ def _limits(df: DataFrame, text: str, group: str) -> dict[tuple[str, str], set[i
     return found
 
 
-def count_words(texts: Iterator[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By bucket: how often its words and pairs of words occur but at a text's end, how often before a final mark, and how many texts end
-    with the word and no final mark."""
+def count_words(batches: Iterator[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By bucket: how often its words and pairs of words occur but at a line's or text's end, how often before a final mark, and how many
+    texts end with the word and no final mark. Texts are parted and their words counted by arrays, in slices that bound their memory."""
     counts, finals, lasts = (np.zeros(WORD_BUCKETS, np.int64) for _ in range(3))
-    seen: Counter[str | tuple[str, str]] = Counter()
-    ended: Counter[str | tuple[str, str]] = Counter()
-    closing: Counter[str] = Counter()
-
-    def flush() -> None:
-        for known, into in ((seen, counts), (ended, finals), (closing, lasts)):
-            for word, n in known.items():
-                into[word_bucket(word if isinstance(word, str) else " ".join(word))] += n
-            known.clear()
-
-    for value in texts:
-        parts = _SENTENCE.split(value)
-        for sentence, end in zip(parts[::2], [*parts[1::2], ""], strict=True):
-            words = _WORD.findall(sentence)
-            if words:
-                pairs = list(zip(words, words[1:], strict=False))
-                if end and end in FINAL:
-                    ended.update((words[-1], *pairs[-1:]))
-                else:
-                    words, pairs = words[:-1], pairs[:-1]
-                seen.update(words)
-                seen.update(pairs)
-        if parts[-1].strip() and (words := _WORD.findall(parts[-1])):
-            closing[words[-1]] += 1
-        if len(seen) > 200_000:
-            flush()
-    flush()
+    for batch in batches:
+        for start in range(0, len(batch), 2000):
+            text = pc.drop_null(batch.slice(start, 2000))
+            text = pc.replace_substring_regex(pc.replace_substring_regex(text, "[\x01\x02]", " "), _POINT, "\x01\\1")
+            text = pc.replace_substring_regex(pc.replace_substring_regex(text, _STOP, " \x01 "), _BREAK, " \x02 ")
+            parts = pc.split_pattern_regex(pc.utf8_lower(text), _BETWEEN)
+            tokens, owner = pc.list_flatten(parts), pc.list_parent_indices(parts)
+            kept = pc.not_equal(tokens, "")
+            tokens, owner = tokens.filter(kept).dictionary_encode(), owner.filter(kept).to_numpy()
+            if not len(tokens):
+                continue
+            known = tokens.dictionary.to_pylist()
+            signs, at = np.array([crc32(w.encode()) for w in known], np.int64), tokens.indices.to_numpy()
+            marks = np.array([1 if w == "\x01" else 2 if w == "\x02" else 0 for w in known], np.int8)[at]
+            same = np.append(owner[1:] == owner[:-1], False)
+            # what follows a token: another word, a final mark, or neither
+            after = np.where(same, np.append(marks[1:], 2), 2)
+            word, sign = marks == 0, signs[at]
+            whole, final, last = word & (after != 2), word & (after == 1), word & ~same
+            first = np.flatnonzero(word[:-1] & word[1:] & same[:-1])
+            second = first + 1
+            pair = (sign[first] * 31 + sign[second]) % WORD_BUCKETS
+            bucket = sign % WORD_BUCKETS
+            for into, words, pairs in ((counts, whole, whole[second]), (finals, final, final[second]), (lasts, last, None)):
+                into += np.bincount(bucket[words], minlength=WORD_BUCKETS)
+                if pairs is not None:
+                    into += np.bincount(pair[pairs], minlength=WORD_BUCKETS)
     return counts, finals, lasts
 
 
@@ -166,7 +173,7 @@ def _word_counts(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.n
     """count_words of all texts; what comes back to the driver is bounded by WORD_BUCKETS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = count_words(value for batch in batches for value in batch.column(0).to_pylist())
+        found = count_words(batch.column(0) for batch in batches)
         used = np.flatnonzero(found[0] + found[2])
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(c[used]) for c in found)], ["bucket", "n", "f", "l"])
 
@@ -179,11 +186,11 @@ def _word_counts(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.n
     return word_statistics(*arrays)
 
 
-def _cut(text: str, rng: np.random.Generator) -> str:
+def _cut(text: str, rng: random.Random) -> str:
     """An intact text cut within a word or a sentence, at random or shortly before its end, with or without a mark of the cut."""
     low, high = max(1, len(text) // 5), len(text) - 1
     for _ in range(20):
-        at = int(rng.integers(low, high + 1)) if rng.random() < 0.8 else max(low, high - int(rng.integers(0, 25)))
+        at = rng.randint(low, high) if rng.random() < 0.8 else max(low, high - rng.randrange(25))
         part = text[:at]
         rest = text[at:].lstrip()
         stripped = part.rstrip()
@@ -196,9 +203,9 @@ def _cut(text: str, rng: np.random.Generator) -> str:
     return text[: max(1, len(text) // 2)]
 
 
-def _cut_at(text: str, unit: str, limit: int, rng: np.random.Generator) -> str:
+def _cut_at(text: str, unit: str, limit: int, rng: random.Random) -> str:
     """A longer text cut at a limit of characters or bytes, some with a mark that the limit includes; '' if it ends at a sentence."""
-    mark = "" if rng.random() < 0.6 else ("...", "…", " [...]")[int(rng.integers(0, 3))]
+    mark = "" if rng.random() < 0.6 else ("...", "…", " [...]")[rng.randrange(3)]
     if unit == "chars":
         part = text[: limit - len(mark)] + mark
     else:
@@ -207,10 +214,29 @@ def _cut_at(text: str, unit: str, limit: int, rng: np.random.Generator) -> str:
     return "" if stripped[-1:] in FINAL or text[len(stripped) :][:1] in "\r\n" else part
 
 
-def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Rows:
     """Rows of indices, none empty, end to end, and where each begins."""
-    starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]]).astype(np.int64)
-    return np.fromiter((i for r in rows for i in r), np.int64, sum(map(len, rows))), starts
+
+    flat: np.ndarray
+    starts: np.ndarray
+
+    @staticmethod
+    def of(rows: list[list[int]]) -> Rows:
+        sizes = [len(r) for r in rows]
+        return Rows(np.fromiter((i for r in rows for i in r), np.int64, sum(sizes)), np.cumsum([0, *sizes[:-1]]) if rows else np.zeros(0, np.int64))
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def take(self, chosen: np.ndarray) -> Rows:
+        sizes = np.append(self.starts[1:], len(self.flat))[chosen] - self.starts[chosen]
+        begins = np.cumsum(sizes) - sizes
+        # each chosen row's run, shifted to where it lies in flat
+        return Rows(self.flat[np.arange(sizes.sum()) + np.repeat(self.starts[chosen] - begins, sizes)], begins)
+
+    def sizes(self) -> np.ndarray:
+        return np.diff(np.append(self.starts, len(self.flat)))
 
 
 @dataclass
@@ -218,35 +244,27 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def score(self, rows: list[list[int]]) -> np.ndarray:
-        if not rows:
-            return np.zeros(0)
-        flat, starts = _flat(rows)
-        return 1 / (1 + np.exp(-(np.add.reduceat(self.weights[flat], starts) + self.bias)))
+    def score(self, rows: Rows) -> np.ndarray:
+        return 1 / (1 + np.exp(-(np.add.reduceat(self.weights[rows.flat], rows.starts) + self.bias))) if len(rows) else np.zeros(0)
 
 
-def fit(rows: list[list[int]], labels: list[int], seed: int = 7) -> Model:
+def fit(rows: Rows, labels: np.ndarray, seed: int = 7) -> Model:
     """Logistic regression by adaptive gradient steps over batches of rows in a seeded order."""
     rng = np.random.default_rng(seed)
-    weights, squares, bias, bias_square = np.zeros(WIDTH), np.full(WIDTH, 1e-3), 0.0, 1e-3
-    flat, starts = _flat(rows)
-    ends, truth = np.append(starts[1:], len(flat)), np.array(labels, np.float64)
+    model, squares, bias_square = Model(np.zeros(WIDTH), 0.0), np.full(WIDTH, 1e-3), 1e-3
     for _ in range(PASSES):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
-            sizes = ends[chosen] - starts[chosen]
-            begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            # the batch's indices: each row's run, shifted to where it lies in flat
-            indices = flat[np.arange(sizes.sum()) + np.repeat(starts[chosen] - begins, sizes)]
-            gap = 1 / (1 + np.exp(-(np.add.reduceat(weights[indices], begins) + bias))) - truth[chosen]
-            used, place = np.unique(indices, return_inverse=True)
-            step = np.bincount(place, np.repeat(gap, sizes)) + 1e-5 * weights[used]
+            batch = rows.take(chosen)
+            gap = model.score(batch) - labels[chosen]
+            used, place = np.unique(batch.flat, return_inverse=True)
+            step = np.bincount(place, np.repeat(gap, batch.sizes())) + 1e-5 * model.weights[used]
             squares[used] += step * step
-            weights[used] -= 0.15 * step / np.sqrt(squares[used])
+            model.weights[used] -= 0.15 * step / np.sqrt(squares[used])
             bias_square += gap.sum() ** 2
-            bias -= 0.15 * gap.sum() / np.sqrt(bias_square)
-    return Model(weights, bias)
+            model.bias -= 0.15 * gap.sum() / np.sqrt(bias_square)
+    return model
 
 
 def _looks_cut(text: str, group: str, context: Context) -> bool:
@@ -265,7 +283,7 @@ def examples(text: str, group: str, context: Context, known: list[tuple[str, str
     """(label, features) of an intact text of the sample and of cuts of it, drawn by the text itself; seeming cuts give none."""
     if not text.strip() or _looks_cut(text, group, context):
         return
-    rng = np.random.default_rng(crc32(text.encode()))
+    rng = random.Random(crc32(text.encode()))
     yield 0, features(text, group, context)
     if text.rstrip()[-1] in FINAL and rng.random() < 0.15:
         # some writers end whole sentences with dots
@@ -273,7 +291,7 @@ def examples(text: str, group: str, context: Context, known: list[tuple[str, str
     if len(text) >= 30:
         yield 1, features(_cut(text, rng), group, context, 0)
     if known:
-        where, unit, limit = known[int(rng.integers(0, len(known)))]
+        where, unit, limit = known[rng.randrange(len(known))]
         long = text
         while len(long) <= limit:
             long += " " + text
@@ -281,14 +299,13 @@ def examples(text: str, group: str, context: Context, known: list[tuple[str, str
             yield 1, features(cut, where, context, 0)
 
 
-def train(rows: list[list[int]], labels: list[int], seed: int = 7) -> Model:
+def train(rows: Rows, labels: np.ndarray, seed: int = 7) -> Model:
     """From features and labels of which some are wrong: texts of the sample may have been cut themselves."""
-    if not rows:
+    if not len(rows):
         return Model(np.zeros(WIDTH), -20.0)
     # the first model half sees which of the sample were cut: they are left out of the second
-    doubts = fit(rows, labels, seed).score(rows)
-    kept = [i for i, d in enumerate(doubts) if labels[i] or d < DOUBT]
-    return fit([rows[i] for i in kept], [labels[i] for i in kept], seed)
+    kept = np.flatnonzero((labels > 0) | (fit(rows, labels, seed).score(rows) < DOUBT))
+    return fit(rows.take(kept), labels[kept], seed)
 
 
 def _grouped(df: DataFrame, row_id: str, text: str, group: list[str]) -> DataFrame:
@@ -305,15 +322,17 @@ def learn(df: DataFrame, row_id: str, text: str, group: list[str]) -> tuple[Mode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         its, limits = shared.value
         for batch in batches:
-            made = [x for t, g in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in examples(t, g, its, limits)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made], pa.int32()), pa.array([x for _, x in made], pa.list_(pa.int32()))], ["label", "at"])
+            made = [(crc32(t.encode()) * 8 + k, *x) for t, g in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, x in enumerate(examples(t, g, its, limits))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], kind) for i, kind in ((0, pa.int64()), (1, pa.int32()), (2, pa.list_(pa.int32())))], ["place", "label", "at"])
 
     # only texts of a bounded length are in the sample, so that it stays bounded in bytes too
     sample = rows.where(F.length("text").between(1, TRAIN_CHARS)).orderBy(F.xxhash64(F.lit(7), "id", "text"), "id").limit(TRAIN_ROWS).select("text", "grp")
-    made = sample.repartition("text").mapInArrow(run, "label int, at array<int>").toArrow()
+    made = sample.repartition("text").mapInArrow(run, "place long, label int, at array<int>").toArrow()
+    lists = pa.concat_arrays(made.column("at").chunks) if made.num_rows else pa.array([], pa.list_(pa.int32()))
+    found = Rows(lists.flatten().to_numpy().astype(np.int64), np.cumsum([0, *lists.value_lengths().to_pylist()[:-1]]) if len(lists) else np.zeros(0, np.int64))
     # in an order of their own, whatever the partitions were
-    found = sorted(zip(made.column(1).to_pylist(), made.column(0).to_pylist(), strict=True))
-    return train([x for x, _ in found], [x for _, x in found]), context
+    order = np.argsort(made.column("place").to_numpy(), kind="stable")
+    return train(found.take(order), made.column("label").to_numpy()[order].astype(np.float64)), context
 
 
 def score(df: DataFrame, row_id: str, text: str, group: list[str], model: Model, context: Context) -> DataFrame:
@@ -328,7 +347,7 @@ def score(df: DataFrame, row_id: str, text: str, group: list[str], model: Model,
                 texts, groups = part.column(1).to_pylist(), part.column(2).to_pylist()
                 filled = [i for i, t in enumerate(texts) if t and t.strip()]
                 scores = np.zeros(part.num_rows)
-                scores[filled] = fitted.score([features(texts[i], groups[i], known) for i in filled])
+                scores[filled] = fitted.score(Rows.of([features(texts[i], groups[i], known) for i in filled]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], ["id", "score"])
 
     rows = _grouped(df, row_id, text, group)
