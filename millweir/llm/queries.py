@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millweir.llm.canonical import NONE, map_places
 from millweir.llm.copies import collapse, find_copies
 from millweir.llm.mixing import mix
-from millweir.llm.names import business_members, pairs_of, person_members
+from millweir.llm.names import business_links, members_of, pairs_of, person_links
 from millweir.llm.tokens import decode, encode, sizes
 from millweir.llm.truncation import find_truncated, shares
 from millweir.session import table
@@ -24,8 +24,8 @@ def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return collapse(reps, "rep_id", find_copies(reps, "rep_id", ["email", "phone"])).select("rep_id", "email", "phone", "n_copies")
 
 
-def _named(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return business_members(table(spark, d, "dealers"), "dealer_id", "name"), person_members(table(spark, d, "sales_reps"), "rep_id", "dealer_id", "full_name")
+def _named(spark: SparkSession, d: str) -> list[DataFrame]:
+    return members_of(business_links(table(spark, d, "dealers"), "dealer_id", "name"), person_links(table(spark, d, "sales_reps"), "rep_id", "dealer_id", "full_name"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
