@@ -29,9 +29,10 @@ from millweir.session import materialize
 TRAIN_ROWS, TRAIN_CHARS, WIDTH, WORD_BUCKETS, PASSES, BATCH = 30_000, 4_000, 1 << 16, 1 << 20, 6, 64
 THRESHOLD, DOUBT = 0.5, 0.15
 
-_WORD = re.compile(r"\w+", re.UNICODE)
+_WORD, _LINE = re.compile(r"\w+", re.UNICODE), re.compile(r"\r\n|\r|\n")
 #: Marks that end a sentence, marks that may follow them, and marks that show a cut.
 FINAL, CLOSING, CUT_MARKS = ".!?。！？‥؟।", "\"'”’»)]}>*_`“」』）】🙂😀👍", ("...", "…", "[...]", "(...)", "�", "[truncated]", "--more--", "[cut]", "...]")
+LONGEST_MARK = max(map(len, CUT_MARKS))
 _BULLET = re.compile(r"^\s*(?:[-*•‣·–+]|\d{1,2}[.)])\s+")
 _FIELD = re.compile(r"^\s*[\w][\w /.()-]{0,28}[:=]\s*\S")
 _MARKUP = re.compile(r"<[^<>]*>\s*$")
@@ -64,12 +65,13 @@ def features(text: str, group: str, context: Context, own: int = 1) -> list[int]
     out: list[str] = []
     body = text.rstrip()
     trailing = len(text) - len(body)
-    mark = next((m for m in CUT_MARKS if body.lower().endswith(m)), "")
+    end = body[-LONGEST_MARK:].lower()
+    mark = next((m for m in CUT_MARKS if end.endswith(m)), "") if end.endswith(CUT_MARKS) else ""
     core = body[: len(body) - len(mark)].rstrip() if mark else body
     closed = core.rstrip(CLOSING + " ")
     last = closed[-1:] if not mark else core[-1:]
     final = last in FINAL and last != ""
-    lines = [x for x in re.split(r"\r\n|\r|\n", core) if x.strip()]
+    lines = [x for x in _LINE.split(core) if x and not x.isspace()]
     line = lines[-1] if lines else ""
     before = lines[-2].strip() if len(lines) > 1 else ""
     words = _WORD.findall(line)
@@ -88,7 +90,7 @@ def features(text: str, group: str, context: Context, own: int = 1) -> list[int]
     at_limit = chars in context.limits.get((group, "chars"), ()) or size in context.limits.get((group, "bytes"), ())
     near = not at_limit and (any(abs(x - chars) <= 4 for x in context.limits.get((group, "chars"), ())) or any(abs(x - size) <= 4 for x in context.limits.get((group, "bytes"), ())))
     anywhere = any(chars in v if unit == "chars" else size in v for (_, unit), v in context.limits.items())
-    open_bracket = any(core.count(a) > core.count(b) for a, b in ("()", "[]", "“”", "„“", "«»", "「」"))
+    open_bracket = any(a in core and core.count(a) > core.count(b) for a, b in ("()", "[]", "“”", "„“", "«»", "「」"))
     last_char = core[-1:] or "none"
     shape = "digit" if last_char.isdigit() else "lower" if last_char.islower() else "upper" if last_char.isupper() else "letter" if last_char.isalpha() else last_char
     end = "final" if final else shape
@@ -270,12 +272,12 @@ def fit(rows: Rows, labels: np.ndarray, seed: int = 7) -> Model:
 def _looks_cut(text: str, group: str, context: Context) -> bool:
     """Plain signs by which a text of the sample can't count as intact: a limit reached, a mark, or prose without a final mark."""
     body = text.rstrip()
-    if any(body.lower().endswith(m) for m in CUT_MARKS):
+    if body[-LONGEST_MARK:].lower().endswith(CUT_MARKS):
         return True
     closed = body.rstrip(CLOSING + " ")
     if closed[-1:] not in FINAL and (len(text) in context.limits.get((group, "chars"), ()) or len(text.encode()) in context.limits.get((group, "bytes"), ())):
         return True
-    line = re.split(r"\r\n|\r|\n", body)[-1]
+    line = _LINE.split(body)[-1]
     return closed[-1:] not in FINAL and len(line) > 60 and not _FIELD.match(line)
 
 
