@@ -64,7 +64,8 @@ def spread_join(rows: DataFrame, other: DataFrame, on: list[tuple[Column, Column
     """rows join other on pairs of columns, where one key of rows, null as well, may hold a third of them.
 
     how: inner, left, left_semi or left_anti. The sides have no column names in common. Hot keys are found by a count of the keys'
-    hashes; their rows are dealt over salts, for each of which other's rows are repeated. Beyond hot keys the planner decides.
+    hashes; their rows are dealt over salts by what they hold, so that a task run again deals them alike; other's rows are repeated for
+    each salt. Beyond hot keys the planner decides.
     """
     same = reduce(lambda a, b: a & b, [a.eqNullSafe(b) if nulls_match else a == b for a, b in on])
     if _estimated_bytes(rows) < LEAST_BYTES:
@@ -73,7 +74,8 @@ def spread_join(rows: DataFrame, other: DataFrame, on: list[tuple[Column, Column
     hot = hot_keys(left, "_hash")
     if not hot:
         return rows.join(other, same, how)
-    left = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id() + F.col("_hash") % SLICES, salts_of(F.col("_hash"), hot).cast("long")).cast("int"))
+    content = [F.col("`" + f.name.replace("`", "``") + "`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(F.lit(5), *content), salts_of(F.col("_hash"), hot).cast("long")).cast("int"))
     right = other.withColumn("_hash2", F.xxhash64(*[b for _, b in on]))
     right = right.withColumn("_salt2", F.explode(F.sequence(F.lit(0), salts_of(F.col("_hash2"), hot) - 1)))
     return left.join(right, (F.col("_hash") == F.col("_hash2")) & (F.col("_salt") == F.col("_salt2")) & same, how).drop("_hash", "_salt", "_hash2", "_salt2")
