@@ -189,10 +189,10 @@ def _word_counts(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _cut(text: str, rng: random.Random) -> str:
-    """An intact text cut within a word or a sentence, at random or shortly before its end, with or without a mark of the cut."""
+    """An intact text cut within a word or a sentence, at any place after its first fifth alike, with or without a mark of the cut."""
     low, high = max(1, len(text) // 5), len(text) - 1
     for _ in range(20):
-        at = rng.randint(low, high) if rng.random() < 0.8 else max(low, high - rng.randrange(25))
+        at = rng.randint(low, high)
         part = text[:at]
         rest = text[at:].lstrip()
         stripped = part.rstrip()
