@@ -45,8 +45,8 @@ def standardize_values(df, p, ctx):
     table = {str(k).strip().lower(): str(v) for k, v in (p.get("mapping") or {}).items()}
     chosen = F.coalesce(K.lookup(F.lower(plain), table), F.col("_canonical"))
     styled = {"most_common": lambda c: c, "title": K.title, "upper": F.upper, "lower": F.lower}[p["case"]](chosen)
-    joined = df.withColumn("_key", common).join(canonical, "_key", "left")
-    return joined.withColumn(name, F.when(K.col(name).isNotNull(), styled)).drop("_key", "_canonical").select(df.columns)
+    joined = spread_join(df.withColumn("_key", common), canonical.withColumnRenamed("_key", "_key2"), [(F.col("_key"), F.col("_key2"))], nulls_match=False)
+    return joined.withColumn(name, F.when(K.col(name).isNotNull(), styled)).select(df.columns)
 
 
 # ---- missing values

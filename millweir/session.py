@@ -62,18 +62,33 @@ def shared_folder(spark: SparkSession) -> str:
     return known
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
 
-    The files go when the driver's process ends, because the caller's plan still reads them.
+    The files go when the driver's process ends, or at release(), because the caller's plan still reads them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/millweir-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _written:
+        atexit.register(release)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> int:
+    """Delete what materialize has written so far, and say how many tables it was. For long sessions, once their results are written:
+    plans made before can't run any more."""
+    done = 0
+    while _written:
+        _remove(*_written.pop())
+        done += 1
+    return done
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

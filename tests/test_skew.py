@@ -79,3 +79,14 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, 99), (99, 100), (100, 100), (200, 201)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(31)} | {99: 99, 100: 99, 200: 200, 201: 200}
+
+
+def test_release_deletes_what_was_written(spark):
+    from millweir import session
+
+    df = session.materialize(spark.range(5))
+    assert df.count() == 5 and session.release() >= 1 and session.release() == 0
+    folder = session.shared_folder(spark).removeprefix("file://")
+    import os
+
+    assert not [x for x in os.listdir(folder) if x.startswith("millweir-cut")]
