@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millweir.functions.conditions import StepError
 from millweir.plans import advice
+from millweir.plans.documents import Versions, bind, readiness, template
 from millweir.plans.lakehouse import build
 from millweir.plans.monitor import anomalies, rule_anomalies
 from millweir.plans.pipeline import Pipeline
@@ -99,3 +100,21 @@ def test_anomalies_against_the_same_hour(spark):
     assert [(r.run_id, r.kind) for r in anomalies(runs).where("run_id > 600").collect()] == [(1112, "volume_drop")]
     results = runs.select("pipeline", "run_id", "started_at", F.lit("r").alias("rule_id"), F.when(F.col("run_id") == 1112, 500).otherwise(F.col("run_id") % 4).alias("failed"), F.lit("red").alias("rag"))
     assert [r.run_id for r in rule_anomalies(results).collect()] == [1112]
+
+
+def test_versions_templates_and_readiness(spark, frames):
+    versions = Versions({"datasets": {"cust": {}}, "steps": []})
+    steps = [{"id": "1", "dataset": "cust", "type": "titlecase", "params": {"columns": ["full_name", "nickname"]}}, {"id": "2", "dataset": "cust", "type": "validate_email", "params": {"column": "email"}}, {"id": "3", "dataset": "cust", "type": "union", "params": {"datasets": ["x"]}}]
+    versions.change(lambda d: d["steps"].extend(steps))
+    versions.change(lambda d: d["steps"].pop(0))
+    assert len(versions.document["steps"]) == 2 and len(versions.undo()["steps"]) == 3 and len(versions.redo()["steps"]) == 2 and versions.redo() is versions.document
+    with pytest.raises(StepError):
+        versions.change(lambda d: d.update(code="x"))
+    versions.undo()
+    other = spark.createDataFrame([("ann lee", "x")], "`Full Name` string, mail string")
+    fitting, rest = bind(template(versions.document), other, "people")
+    assert [(s["type"], s["params"]) for s in fitting] == [("titlecase", {"columns": ["Full Name"]})] and [s["type"] for s in rest] == ["validate_email"]
+    doc = {"datasets": {"cust": {}, "orders": {}, "gone": {}}, "steps": [{"id": "1", "dataset": "cust", "type": "uppercase", "params": {"columns": ["nope"]}}], "rules": [{"dataset": "cust", "rule": "email", "column": "email"}, {"dataset": "orders", "rule": "email", "column": "none"}], "gold": [{"name": "g", "kind": "entity_360", "dataset": "nowhere"}], "targets": [{"path": "/x", "mode": "merge"}]}
+    state = {c.what: c.state for c in readiness(Pipeline(doc, frames.__getitem__, order={"cust": ["cust_id"]}))}
+    assert state == {"datasets": "pass", "sources": "fail", "steps": "fail", "rules cover the datasets": "warn", "rules": "fail", "table names": "pass", "gold": "fail", "targets": "fail"}
+    assert {c.state for c in readiness(Pipeline({"datasets": {"cust": {}}, "rules": doc["rules"][:1]}, frames.__getitem__))} == {"pass", "warn"}
