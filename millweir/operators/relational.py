@@ -195,27 +195,27 @@ def remove_duplicates(df, p, ctx):
 def _pieces(text: Column, threshold: float) -> Column:
     """Pieces of a text of which two similar texts share one, whatever their lengths.
 
-    A ratio of 2 M / (n + m) of at least t leaves at most k = (1 - t) (n + m) letters of both unmatched. Of k + 1 pieces of the shorter
-    text one is untouched, and it moves by k places at most. Texts stand under the pieces of each length that a partner may have.
+    A ratio of 2 M / (n + m) of at least t leaves at most k = (1 - t) (n + m) letters of both unmatched. Of as many pieces of the shorter
+    text and one more, one is untouched. It stands in the longer one, moved by what is unmatched before it: of the k letters the longer
+    text has (k + n - m) / 2 at most and the shorter one (k - n + m) / 2. Texts stand under the pieces of each length that a partner may have.
     """
     n = F.length(text)
-    least, most = F.ceil(n * threshold / (2 - threshold)), F.floor(n * (2 - threshold) / threshold)
+    least = F.greatest(F.lit(0), F.ceil(n * threshold / (2 - threshold) - 1e-9)).cast("int")
 
     def of_length(m: Column) -> Column:
-        # m: the shorter length of a pair; this text is one of m letters, or a longer one that looks for it
-        k = F.floor((1 - threshold) * (m + F.floor(m * (2 - threshold) / threshold))).cast("int")
+        # m: the shorter length of a pair, of which this text is the longer one, or both are as long
+        parts = F.floor((1 - threshold) * (m + F.floor(m * (2 - threshold) / threshold + 1e-9)) + 1e-9).cast("int") + 1
+        k, longer = F.floor((1 - threshold) * (m + n) + 1e-9).cast("int"), n - m
+        shifts = F.sequence(-F.floor((k - longer) / 2).cast("int"), F.floor((k + longer) / 2).cast("int"))
 
         def piece(i: Column) -> Column:
-            start, end = F.floor(m * i / (k + 1)).cast("int"), F.floor(m * (i + 1) / (k + 1)).cast("int")
-            shifts = F.when(m == n, F.array(F.lit(0))).otherwise(F.sequence(-k, k))
+            start, end = F.floor(m * i / parts).cast("int"), F.floor(m * (i + 1) / parts).cast("int")
             at = F.filter(F.transform(shifts, lambda d: start + d), lambda x: (x >= 0) & (x <= n - (end - start)))
-            # texts of the same length look for each other at shifts as well
-            at = F.when(m == n, F.filter(F.sequence(start - k, start + k), lambda x: (x >= 0) & (x <= n - (end - start)))).otherwise(at)
             return F.transform(at, lambda x: F.xxhash64(m, i, F.substring(text, x + 1, end - start)))
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), k), piece))
+        return F.when(k >= longer, F.flatten(F.transform(F.sequence(F.lit(0), parts - 1), piece))).otherwise(F.array().cast("array<bigint>"))
 
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(F.lit(0), least).cast("int"), n), of_length)))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.least(least, n), n), of_length)))
 
 
 def _ratios(threshold: float):  # noqa: ANN202
